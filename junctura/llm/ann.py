@@ -219,7 +219,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 6, pr
     if short.count():
         blocks = -(-facts["n"] // block)
         one = unique.select("uid", "v", "ids", F.lit(False).alias("ask"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("string").alias("key"))
-        all_blocks = short.select("uid", "v", "ids", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("string").alias("key"))
+        all_blocks = short.select("uid", "v", "ids", F.lit(True).alias("ask"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: x.cast("string"))).alias("key"))
         again = _merged(_meet(one.unionByName(all_blocks).select("key", "ask", "uid", "v", "ids"), k), k)
         found = found.join(short.select("uid"), "uid", "left_anti").unionByName(again)
     # Queries of equal vectors share an answer; each leaves itself out.
