@@ -100,42 +100,82 @@ class Cache(dict):
         return value
 
 
-#: White space other than ASCII's six characters, and the two library views of it together.
+#: White space outside ASCII's six characters, as either library may see it.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Characters beyond the first blocks (and one whose lower case is two): their chunks go to the library whole.
+FAR = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Chunks that byte-level pre-tokenisation never crosses, for texts without ODD_SPACE.
 BYTE_CHUNK = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+BYTE_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+def odd_space(text: str) -> bool:
+    if text.isascii():
+        return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+    return ODD_SPACE.search(text) is not None
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Token ids of whole texts as the tokenizers library gives them (add_special_tokens=False), as little-endian bytes of `width` each.
 
-    A text is cut where pre-tokenisation always cuts, and the library encodes each distinct piece once per task; texts
-    with white space outside ASCII go to the library whole. kind: "byte" (byte-level BPE, spaces join the word after
-    them) or "word" (white space is dropped)."""
+    A text is cut into chunks where pre-tokenisation always cuts, chunks into pieces by the vocabulary's own pattern, and the
+    library's model encodes each distinct piece; chunks and pieces are remembered per task in bounded caches. Texts with white space outside ASCII
+    and chunks beyond the first Unicode blocks go to the library whole. kind: "byte" (byte-level BPE, a space joins the word
+    after it) or "word" (lower case, white space is dropped)."""
 
-    def __init__(self, path: str, kind: str, most: int = 300_000):
+    def __init__(self, path: str, kind: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
+        import regex
         from tokenizers import Tokenizer
 
         self.np, self.tok, self.kind = np, Tokenizer.from_file(path), kind
+        self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.type = f"<u{self.width}"
-        self.cache = Cache(self.whole, most)
+        self.pattern, self.letters = regex.compile(BYTE_PIECE if kind == "byte" else WORD_PIECE), byte_letters()
+        self.cache, self.pieces = Cache(self.chunk, most), Cache(self.piece, most)
+        self.words = Cache(self.spaced, most)
 
     def whole(self, text: str) -> bytes:
         return self.np.array(self.tok.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(mapped)])
+
+    def chunk(self, chunk: str) -> bytes:
+        if FAR.search(chunk) or "<|" in chunk:
+            return self.whole(chunk)
+        found = self.pattern.findall(chunk if self.kind == "byte" else chunk.lower())
+        return b"".join(map(self.pieces.__getitem__, found))
+
+    def spaced(self, word: str) -> bytes:
+        """A word after a space, or a line's first word with the line end before it."""
+        return self.chunk(word if word[0] == "\n" else " " + word)
+
     def __call__(self, text: str) -> bytes:
-        if self.kind == "byte":
-            if ODD_SPACE.search(text) or "<|" in text:
-                return self.whole(text)
-            return b"".join(map(self.cache.__getitem__, BYTE_CHUNK.findall(text)))
-        if ODD_SPACE.search(text):
+        if odd_space(text):
             return self.whole(text)
-        return b"".join(map(self.cache.__getitem__, text.split()))
+        if self.kind == "word":
+            return b"".join(map(self.cache.__getitem__, text.split()))
+        if "<|" in text:
+            return self.whole(text)
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", "\n ", " \n", "\t", "\r", "\x0b", "\x0c")):
+            return b"".join(map(self.cache.__getitem__, BYTE_CHUNK.findall(text)))
+        # Every space and line end stands alone between words.
+        first, *words = text.replace("\n", " \n").split(" ")
+        return self.cache[first] + b"".join(map(self.words.__getitem__, words))
 
 
 def crc_ids(ids) -> int:
