@@ -3,8 +3,8 @@
 Documents are tokenised, ended by an end id, and cut into pieces of at most `size` ids; only the first piece of a long
 document may be shorter. The histogram of piece lengths (at most `size` counts, whatever the corpus) goes to the
 driver, which runs best-fit decreasing over counts: all bins alike are one class, so the plan has a few thousand
-entries at any scale. Pieces then take planned slots by a join on (length, rank within length). Ranks are counted in salted
-blocks, so one very common length is no hot key.
+entries at any scale. Pieces then take planned slots by a join on (length, rank within length). Ranks of common
+lengths are counted in salted blocks of about BLOCK_ROWS, so one very common length is no hot key.
 
 Defined results: a null text is empty, that is one piece with the end id; repeated rows are packed once each; an empty
 table gives an empty table.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import Encoder, crc_ids, cut, map_texts, tokenizer_path
 
 SIZE = 2048
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 2_000
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = 0, with_ids: bool = False) -> DataFrame:
@@ -86,9 +86,10 @@ def pack(cuts: DataFrame, size: int = SIZE) -> DataFrame:
     spark = cuts.sparkSession
     histogram = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     entries, _ = plan(histogram, size)
-    salts = max(1, -(-sum(histogram.values()) // BLOCK_ROWS))
     kept = cuts.columns
-    rows = cuts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salts = spark.createDataFrame([(n, -(-c // BLOCK_ROWS)) for n, c in histogram.items() if c > BLOCK_ROWS], "_hot int, _salts long")
+    rows = cuts.join(F.broadcast(salts), F.col("length") == F.col("_hot"), "left")  # at most `size` rows: common lengths only
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce("_salts", F.lit(1)))).drop("_hot", "_salts")
     blocks = rows.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select(F.col("length").alias("_l"), F.col("_salt").alias("_s"), before.alias("_before"))
