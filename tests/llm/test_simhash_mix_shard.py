@@ -85,15 +85,52 @@ def test_components_of_any_graph(spark):
         assert set(got) == set(near)
 
 
+def shingles(text, width=5):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
 def test_keep_one(docs, no_docs):
     rows = docs.collect()
-    classes = plain_components([(r.doc_id, plain_fingerprint(r.text, 5)) for r in rows])
+    sets, parent = [shingles(r.text) for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    best = {}
+    for i, r in enumerate(rows):
+        best.setdefault(find(i), []).append((r.doc_id is None, r.doc_id or 0))
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id) for r in got.collect()) == sorted((c is None, c) for c in set(classes))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(map(min, best.values()))
     assert simhash.keep_one(no_docs).collect() == []
 
 
+def test_keep_one_finds_near_copies_and_leaves_the_rest(spark):
+    import random
+
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)] + ["the", "of", "and"] * 300
+    rows, copies = [], 0
+    for i in range(120):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(120, 500))]
+        rows.append(" ".join(base))
+        for _ in range(i % 3):
+            edited = list(base)
+            for _ in range(max(1, len(base) // 90)):  # at a similarity of 0.88 or more
+                edited[rng.randrange(len(edited))] = "new"
+            rows.append(" ".join(edited))
+            copies += 1
+    got = simhash.keep_one(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")).count()
+    assert 120 <= got <= 120 + 0.03 * copies
+
+
 def plain_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(order)}
