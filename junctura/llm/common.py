@@ -83,7 +83,9 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str | T.StructT
 
 
 class Cache(dict):
-    """A dict that computes what it lacks; at most `most` entries in each of two generations, so its memory is bounded and frequent keys stay."""
+    """A dict that computes what it lacks; at most `most` entries of at most LONGEST characters in each of two generations, so its memory is bounded and frequent keys stay."""
+
+    LONGEST = 64
 
     def __init__(self, compute: Callable, most: int = 300_000):
         super().__init__()
@@ -93,6 +95,8 @@ class Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+            if len(key) > self.LONGEST:
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

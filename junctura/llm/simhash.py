@@ -7,7 +7,9 @@ pairs. Links are verified and deduplicated; components come from alternating lar
 written tables, so hot hubs are aggregated, never gathered.
 
 Deduplication of documents (keep_one) asks for a similarity of 0.8 over five-word shingles, at which 64-bit fingerprints differ in about ten bits. It
-hashes balls of radius 2 in each of eight 32-bit blocks of a 256-bit SimHash of word pairs, and verifies colliding pairs on MinHash sketches.
+hashes balls of radius 2 in each of eight 32-bit blocks of a 256-bit SimHash of word pairs. Texts that meet are compared on MinHash sketches and, within
+MARGIN of the threshold, on their whole shingle sets. Chains through each ball come first; what they leave apart in a ball of three or more texts is
+then compared in full, in blocks, so no candidate is dropped however many texts a ball holds.
 
 Defined results: null or white texts have fingerprint zero and are linked like any other; equal texts share a fingerprint
 and cost one node; a null doc_id never becomes a component's smallest id unless all are null; an empty table gives
@@ -16,6 +18,9 @@ an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +44,10 @@ def fingerprint(text: str, width: int) -> int:
         at += len(w) + 1
         ends.append(at)
     starts = [0, *[e + 1 for e in ends[: len(words) - width]]]
-    h = np.fromiter([digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=True)], np.uint64, len(starts))
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(starts), 4096):
+        h = np.array([digest(line[a:b], 42) for a, b in zip(starts[i : i + 4096], ends[i + width - 1 : i + 4096 + width - 1], strict=True)], "<u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(starts), bitorder="little").tobytes(), "little")
 
 
@@ -102,38 +108,46 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-BLOCKS, BINS = 8, 256
+#: Blocks of 32 bits, bins of a MinHash sketch, and four standard errors of what the sketch estimates at a similarity of 0.8.
+BLOCKS, BINS, MARGIN = 8, 512, 0.07
+#: Texts of a ball or value that one task takes at once; node ids below which a list of them is broadcast.
+MEET, FEW = 2_000, 200_000
 
 
-def sketch(text: str, width: int = 5) -> tuple[list[int], bytes]:
-    """A 256-bit SimHash of word pairs as BLOCKS blocks of 32 bits, and a one-permutation MinHash of word shingles, a byte a bin (0: empty)."""
+def shingle_hashes(text: str, width: int):
+    """XXH64 of the word shingles of a text, repeats included (fewer words: the whole sequence; none: empty)."""
     import numpy as np
     import xxhash
 
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return [0] * BLOCKS, bytes(BINS)
+    words, digest = text.encode("utf-8", "replace").lower().split(), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(b" ".join(words), 42)] if words else [], np.uint64)
     line, ends, at = b" ".join(words), [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
-    begins = [0, *[e + 1 for e in ends[:-1]]]
+    starts = [0, *[e + 1 for e in ends[: len(words) - width]]]
+    return np.fromiter([digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=True)], np.uint64, len(starts))
+
 
-    def grams(k: int) -> list[bytes]:
-        return [line[a:b] for a, b in zip(begins, ends[k - 1 :], strict=False)] if len(words) > k else [line]
+def sketch(text: str, width: int = 5) -> tuple[list[int], bytes]:
+    """A 256-bit SimHash of word pairs as BLOCKS blocks of 32 bits, and a one-permutation MinHash of word shingles, a byte a bin (0: empty)."""
+    import numpy as np
+    import xxhash
 
-    wide, pairs = xxhash.xxh3_128_digest, grams(2)
-    h = np.frombuffer(b"".join([wide(g, 1) + wide(g, 2) for g in pairs]), np.uint8).reshape(-1, 4 * BLOCKS)
+    words = text.encode("utf-8", "replace").lower().split()
+    if not words:
+        return [0] * BLOCKS, bytes(BINS)
+    wide, pairs = xxhash.xxh3_128_digest, [b" ".join(p) for p in zip(words, words[1:], strict=False)] or words
     ones = np.zeros(32 * BLOCKS, np.int64)
-    for i in range(0, len(h), 4096):
-        ones += np.unpackbits(h[i : i + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    blocks = np.packbits(2 * ones > len(h)).view(">u4").astype(np.int64).tolist()
-    digest = xxhash.xxh64_intdigest
-    shingles = grams(width)
-    g = np.fromiter([digest(x, 42) for x in shingles], np.uint64, len(shingles))
-    order = np.argsort(g >> np.uint64(8))[::-1]
+    for i in range(0, len(pairs), 4096):
+        h = np.frombuffer(b"".join([wide(g, 1) + wide(g, 2) for g in pairs[i : i + 4096]]), np.uint8).reshape(-1, 4 * BLOCKS)
+        ones += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64)
+    blocks = np.packbits(2 * ones > len(pairs)).view(">u4").astype(np.int64).tolist()
+    g = shingle_hashes(text, width)
+    order = np.argsort(g >> np.uint64(9))[::-1]
     sig = np.zeros(BINS, np.uint8)
-    sig[(g & np.uint64(BINS - 1))[order].astype(np.int64)] = ((g >> np.uint64(8)) % np.uint64(255) + np.uint64(1))[order].astype(np.uint8)
+    sig[(g % np.uint64(BINS))[order].astype(np.int64)] = ((g >> np.uint64(9)) % np.uint64(255) + np.uint64(1))[order].astype(np.uint8)
     return blocks, sig.tobytes()
 
 
@@ -151,18 +165,44 @@ def sketches(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
     return map_texts(slim, ["doc_id", "h"], "text", "doc_id long, h long, blocks array<long>, sig binary", make)
 
 
-def similar_links(nodes: DataFrame, similarity: float = 0.8, reach: int = 4) -> DataFrame:
-    """a, b: links between distinct texts (h, blocks, sig) whose shingle sets have the given Jaccard similarity, estimated from the sketches (standard error 0.025 at 0.8).
+def resemblance(p, q):
+    """Estimated Jaccard similarity of sketches (rows of bytes); 1 where both are empty."""
+    import numpy as np
+
+    used = ((p > 0) | (q > 0)).sum(-1)
+    return np.where(used == 0, 1.0, ((p == q) & (p > 0)).sum(-1) / np.maximum(used, 1))
 
-    Candidates agree to within 2 bits in one of the blocks: each block emits its ball of radius 1. Within a ball each text meets the `reach` before
-    it in order of hash, which is all of them in balls of up to reach + 1 texts, and never all pairs of a large one."""
-    ball = F.array(F.col("v"), *[F.col("v").bitwiseXOR(F.lit(1 << b)) for b in range(32)])
-    near = nodes.select("h", F.posexplode("blocks").alias("i", "v")).select("h", "i", F.explode(ball).alias("v")).select("h", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v")).alias("v"))
-    along = Window.partitionBy("v").orderBy("h")
-    met = near.select(F.col("h").alias("b"), *[F.lag("h", k).over(along).alias(f"a{k}") for k in range(1, reach + 1)]).where("a1 is not null")
-    pairs = met.select("b", F.explode(F.array(*[f"a{k}" for k in range(1, reach + 1)])).alias("a")).where("a is not null and a <> b").distinct()
-    sig = nodes.select(F.col("h").alias("_h"), F.col("sig").alias("_sig"))
-    both = pairs.join(sig, F.col("a") == F.col("_h")).select("a", "b", F.col("_sig").alias("sa")).join(sig, F.col("b") == F.col("_h")).select("a", "b", "sa", F.col("_sig").alias("sb"))
+
+def _values(nodes: DataFrame) -> DataFrame:
+    """h, w: each text with the numbered values of its blocks."""
+    return nodes.select("h", F.posexplode("blocks").alias("i", "u")).select("h", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("u")).alias("w"))
+
+
+def _flip(v: str, p: str):
+    return F.when(F.col(p) == 0, F.col(v)).otherwise(F.col(v).bitwiseXOR(F.expr(f"shiftleft(1L, {p} - 1)")))
+
+
+def _balls(values: DataFrame) -> DataFrame:
+    """v, w, before: the distinct values in each ball that holds several (33 at most), each with the one before it."""
+    ball = F.array(F.col("w"), *[F.col("w").bitwiseXOR(F.lit(1 << b)) for b in range(32)])
+    near = values.select(F.posexplode(ball).alias("p", "v")).select("v", F.col("p").cast("byte").alias("p"))
+    along = Window.partitionBy("v").orderBy("p")
+    got = near.select("v", "p", F.lag("p").over(along).alias("q"), F.lead("p").over(along).alias("r")).where("q is not null or r is not null")
+    return got.select("v", _flip("v", "p").alias("w"), F.when(F.col("q").isNotNull(), _flip("v", "q")).alias("before"))
+
+
+def _chains(members: DataFrame, values: DataFrame, balls: DataFrame) -> DataFrame:
+    """a < b: pairs along each value's texts and between the first texts of a ball's neighbouring values. Texts of hot values are chained in salted parts, each tied to the value's first."""
+    own = members.join(values.where("n > 1"), "w").withColumn("salt", F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / MEET)))
+    own = own.select("h", F.coalesce(F.lag("h").over(Window.partitionBy("w", "salt").orderBy("h")), "rep").alias("other")).where("h <> other")
+    step = balls.where("before is not null").select("w", "before").distinct()
+    reps = values.select("w", "rep")
+    step = step.join(reps, "w").select("before", F.col("rep").alias("h")).join(reps.withColumnRenamed("w", "before"), "before").select("h", F.col("rep").alias("other")).where("h <> other")
+    return own.unionByName(step).select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+
+
+def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """a, b, e of the pairs whose sketches resemble each other enough."""
 
     @F.pandas_udf("double")
     def alike(x, y):
@@ -170,20 +210,121 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, reach: int = 4) ->
         import pandas as pd
 
         p, q = (np.frombuffer(b"".join(map(bytes, c)), np.uint8).reshape(len(c), BINS) for c in (x, y))
-        used = ((p > 0) | (q > 0)).sum(1)
-        return pd.Series(np.where(used == 0, 1.0, ((p == q) & (p > 0)).sum(1) / np.maximum(used, 1)))
+        return pd.Series(resemblance(p, q))
+
+    sig = nodes.select(F.col("h").alias("_h"), F.col("sig").alias("_sig"))
+    both = pairs.join(sig, F.col("a") == F.col("_h")).select("a", "b", F.col("_sig").alias("sa")).join(sig, F.col("b") == F.col("_h")).select("a", "b", "sa", F.col("_sig").alias("sb"))
+    return both.select("a", "b", alike("sa", "sb").alias("e")).where(F.col("e") >= least)
+
+
+def _exact(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """a, b of the pairs whose whole shingle sets have the similarity."""
+
+    def make():
+        def run(keys, texts):
+            import numpy as np
+
+            return [keys[0], [np.unique(shingle_hashes(x, width).astype("<u4")).tobytes() for x in texts]]
+
+        return run
+
+    @F.pandas_udf("double")
+    def jaccard(x, y):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        for p, q in zip(x, y, strict=True):
+            p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both / max(1, len(p) + len(q) - both) if len(p) or len(q) else 1.0)
+        return pd.Series(out, dtype=float)
+
+    need = cut(pairs.select(F.explode(F.array("a", "b")).alias("_h")).distinct(), "simhash-need")
+    texts = docs.select(F.xxhash64("text").alias("h"), "text")
+    few = need.limit(FEW + 1).count() <= FEW
+    texts = texts.join(F.broadcast(need) if few else need, F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"])
+    sets = cut(map_texts(texts, ["h"], "text", "h long, s binary", make), "simhash-sets")
+    sets = sets.select(F.col("h").alias("_h"), F.col("s").alias("_s"))
+    both = pairs.join(sets, F.col("a") == F.col("_h")).select("a", "b", F.col("_s").alias("sa")).join(sets, F.col("b") == F.col("_h")).select("a", "b", "sa", F.col("_s").alias("sb"))
+    return both.where(jaccard("sa", "sb") >= similarity).select("a", "b")
+
+
+def _apart(nodes: DataFrame, classes: DataFrame, members: DataFrame, values: DataFrame, balls: DataFrame, least: float) -> DataFrame:
+    """a, b, e: for each ball of three or more texts of several classes, the text of every other class that each text outside the ball's largest class resembles most. Both sides are dealt in blocks of MEET that meet pairwise in a task."""
+    at = balls.select("v", "w").unionByName(values.where("n > 1").select(F.col("w").alias("v"), "w")).distinct()
+    rows = cut(at.join(members, "w").join(classes, "h").select("v", "h", "c"), "simhash-met")
+    some = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 2 and lo <> hi").select("v", "n")
+    most = rows.join(some, "v").groupBy("v", "n", "c").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("v").alias("_v"), "n").agg(F.max(F.struct("k", "c")).alias("top"))
+    most = cut(most.select("_v", F.ceil(F.col("n") / MEET).alias("_cb"), F.ceil((F.col("n") - F.col("top.k")) / MEET).alias("_qb"), F.col("top.c").alias("_top")), "simhash-apart")
+    rows = rows.join(most, F.col("v") == F.col("_v"))
+    salt = F.xxhash64("h")
+    given = rows.select("v", F.pmod(salt, "_cb").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qb") - 1)).alias("y"), F.lit(False).alias("ask"), "h", "c")
+    asked = rows.where("c <> _top").select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cb") - 1)).alias("x"), F.pmod(salt, "_qb").alias("y"), F.lit(True).alias("ask"), "h", "c")
+    met = given.unionByName(asked).join(nodes.select("h", "sig"), "h").select(F.concat_ws(",", F.col("v").cast("string"), F.col("x").cast("string"), F.col("y").cast("string")).alias("key"), "ask", "h", "c", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    return both.where(alike("sa", "sb") >= similarity).select("a", "b")
+        key, hs, cs, sigs, matrix = None, [], [], [], None
+        for b in batches:
+            out: list = []
+            for at, ask, h, c, sig in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                if at != key:
+                    key, hs, cs, sigs, matrix = at, [], [], [], None
+                if not ask:
+                    hs.append(h)
+                    cs.append(c)
+                    sigs.append(sig)
+                elif hs:
+                    if matrix is None:
+                        matrix = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), BINS)
+                    e = resemblance(matrix, np.frombuffer(sig, np.uint8))
+                    best: dict = {}
+                    for i in np.flatnonzero(e >= least).tolist():
+                        if cs[i] != c and e[i] > best.get(cs[i], (0.0, 0))[0]:
+                            best[cs[i]] = (float(e[i]), hs[i])
+                    out += [(h, other, to, score) for to, (score, other) in best.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["b", "a", "to", "e"])
+
+    got = met.repartition("key").sortWithinPartitions("key", "ask").mapInArrow(run, "b long, a long, to long, e double")
+    best = got.groupBy("b", "to").agg(F.max(F.struct("e", "a")).alias("m"))
+    return best.select(F.col("m.a").alias("a"), "b", F.col("m.e").alias("e"))
+
+
+def similar_classes(nodes: DataFrame, docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """h, c for every distinct text: its class under links between texts of the given Jaccard similarity of word shingles. nodes (written): h, blocks, sig."""
+    members = _values(nodes)
+    values = cut(members.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("rep")), "simhash-values")
+    balls = cut(_balls(values), "simhash-balls")
+
+    def grouped(links: DataFrame) -> DataFrame:
+        roots = components(links, "simhash")
+        return nodes.select("h").join(roots, nodes.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("c"))
+
+    def verified(scored: DataFrame, classes: DataFrame) -> DataFrame:
+        """Of the pairs near the threshold and in different classes, those that reach it."""
+        ca, cb = classes.select(F.col("h").alias("a"), F.col("c").alias("ca")), classes.select(F.col("h").alias("b"), F.col("c").alias("cb"))
+        open_pairs = cut(scored.where(F.col("e") < similarity + MARGIN).join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b"), "simhash-open")
+        return cut(_exact(open_pairs, docs, width, similarity), "simhash-verified")
+
+    scored = cut(_estimated(_chains(members, values, balls), nodes, similarity - MARGIN), "simhash-scored")
+    links = scored.where(F.col("e") >= similarity + MARGIN).select("a", "b")
+    links = links.unionByName(verified(scored, cut(grouped(links), "simhash-sure")))
+    classes = cut(grouped(links), "simhash-chained")
+    rest = cut(_apart(nodes, classes, members, values, balls, similarity - MARGIN), "simhash-rest")
+    if rest.isEmpty():
+        return classes
+    links = links.unionByName(rest.where(F.col("e") >= similarity + MARGIN).select("a", "b")).unionByName(verified(rest, classes))
+    return cut(grouped(links), "simhash-classes")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of each class of near-duplicates (texts linked at the given similarity of their word shingles) the row with the smallest doc_id (null last; one of rows alike), with the input's columns."""
-    prints = cut(sketches(docs, width), "simhash-sketches")
-    nodes = cut(prints.groupBy("h").agg(F.min("doc_id").alias("low"), F.first("blocks").alias("blocks"), F.first("sig").alias("sig")), "simhash-texts")
-    roots = components(similar_links(nodes, similarity), "simhash")
-    named = nodes.select("h", "low").join(roots, nodes.h == roots.node, "left").select("h", "low", F.coalesce("root", "h").alias("root"))
+    nodes = cut(sketches(docs, width).groupBy("h").agg(F.min("doc_id").alias("low"), F.first("blocks").alias("blocks"), F.first("sig").alias("sig")), "simhash-texts")
+    named = nodes.select("h", "low").join(similar_classes(nodes, docs, width, similarity), "h")
     # One text of each class, by its smallest doc_id; then one row of that text.
-    best = named.groupBy("root").agg(F.min_by(F.struct("h", "low"), F.struct(F.col("low").isNull(), "low", "h")).alias("k"))
+    best = named.groupBy("c").agg(F.min_by(F.struct("h", "low"), F.struct(F.col("low").isNull(), "low", "h")).alias("k"))
     keep = cut(best.select(F.col("k.h").alias("_h"), F.col("k.low").alias("_id")), "simhash-keep")
     rows = packed(docs).withColumn("_k", F.xxhash64("_row.text")).withColumn("_d", F.col("_row.doc_id").cast("long"))
     got = rows.join(keep, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h")), "left_semi")
