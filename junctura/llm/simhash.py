@@ -252,7 +252,10 @@ def _exact(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
 
 def _apart(nodes: DataFrame, classes: DataFrame, members: DataFrame, values: DataFrame, balls: DataFrame, least: float) -> DataFrame:
     """a, b, e: for each ball of three or more texts of several classes, the text of every other class that each text outside the ball's largest class resembles most. Both sides are dealt in blocks of MEET that meet pairwise in a task."""
-    at = balls.select("v", "w").unionByName(values.where("n > 1").select(F.col("w").alias("v"), "w")).distinct()
+    lone = values.where("n > 1").select("w").join(balls.select("w"), "w", "left_anti").select(F.col("w").alias("v"), "w")
+    # Of balls that hold the same values (33 at most) one stands for all.
+    held = balls.groupBy("v").agg(F.sort_array(F.collect_set("w")).alias("ws")).groupBy("ws").agg(F.min("v").alias("v"))
+    at = held.select("v", F.explode("ws").alias("w")).unionByName(lone)
     rows = cut(at.join(members, "w").join(classes, "h").select("v", "h", "c"), "simhash-met")
     some = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 2 and lo <> hi").select("v", "n")
     most = rows.join(some, "v").groupBy("v", "n", "c").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("v").alias("_v"), "n").agg(F.max(F.struct("k", "c")).alias("top"))
