@@ -1,4 +1,4 @@
-"""BAM files as a Python data source: `spark.read.format("bam")`, one partition a file or, with `tiles`, a range of positions; and a writer.
+"""BAM files as a Python data source: `spark.read.format("bam")`, one partition a file; and a writer.
 
 BGZF is concatenated gzip members, decoded block by block, so that a task's memory doesn't grow with the file."""
 
