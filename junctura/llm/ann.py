@@ -3,8 +3,10 @@
 Inner products become angles by one more dimension (all vectors are brought to the largest norm by it; queries have 0
 there). A table's hash rotates a vector pseudo-randomly (three rounds of random signs and a fast Hadamard transform) and
 takes the nearest signed axis; where more buckets are wanted, several hashes are joined, the last over a part of the axes
-only, so that a bucket holds about `bucket` vectors at any corpus size. Queries probe the `probes` nearest buckets of each
-of `tables` tables; what they meet there is scored exactly, on the original vectors in double precision.
+only, so that a bucket holds about `bucket` vectors at any corpus size. Queries probe the nearest buckets of each of `tables` tables; what they meet there is scored exactly, on the original vectors in
+double precision. `probes`, dealt over the bands, is the least: `sample` queries are searched exactly at the table's real size, and probes
+(up to MOST a band and table), then tables, grow until these have `recall` of their neighbours. Where that would score as many candidates as there
+are vectors, or there are few queries, all are searched exactly.
 
 Equal vectors are one vector with several ids: all of them for answers need only the smallest k + 1. Buckets beyond
 `block` vectors or queries are split into blocks that meet pairwise, so a hot bucket is many small tasks, and every task streams.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SEED = 20_011
+#: Probes of a band's table at most; tables of a band are numbered below WIDE.
+MOST, WIDE = 512, 64
 
 
 def hadamard(x):
@@ -64,6 +68,10 @@ class CrossPolytope:
 
     def near(self, x, probes: int):
         """The `probes` best buckets of each row, best first (as many as there are)."""
+        step = max(1, (1 << 21) // probes**2)
+        return self.np.concatenate([self._near(x[i : i + step], probes) for i in range(0, max(1, len(x)), step)])
+
+    def _near(self, x, probes: int):
         np = self.np
         code, loss = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
         norm = np.sqrt((x * x).sum(1, keepdims=True)) * self.size**1.5
@@ -159,26 +167,135 @@ def _meet(rows: DataFrame, k: int, chunk: int = 256) -> DataFrame:
     return rows.select("key", "ask", "uid", "v", "ids").mapInArrow(run, _SCHEMA)
 
 
-def _hashed(rows: DataFrame, dim: int, largest: float, tables: int, probes: int, buckets: int, query: bool) -> DataFrame:
-    """rows: uid, v, ids -> and t, bucket for each table and probe."""
+class Band:
+    """Vectors of like norms: number, largest norm, size, buckets, and the probes of each of its tables."""
+
+    def __init__(self, number: int, top: float, n: int, bucket: int):
+        self.number, self.top, self.n, self.buckets, self.probes = number, top, n, max(1, -(-n // bucket)), 1
+
+    def tables(self, tables: int) -> int:
+        return tables if self.buckets > 1 else 1
+
+    def lifted(self, v, query: bool):
+        import numpy as np
+
+        extra = np.zeros((len(v), 1)) if query else np.sqrt(np.maximum(0.0, self.top**2 - (v * v).sum(1)))[:, None]
+        return np.concatenate([v, extra], axis=1)
+
+
+def _bands(unique: DataFrame, bucket: int) -> tuple[list[Band], dict[int, int]]:
+    """One band of all norms, and the band of each half octave of norms."""
+    bands, of = [], {}
+    for r in unique.groupBy("octave").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).orderBy(F.desc("octave")).collect():
+        if bands:
+            bands[-1].n += r["n"]
+        else:
+            bands.append(Band(0, r["top"], r["n"], bucket))
+        of[r["octave"]] = 0
+    for b in bands:
+        b.buckets = max(1, -(-b.n // bucket))
+    return bands, of
+
+
+def _ranks(bands: list[Band], dim: int, tables: range, pairs: dict):
+    """For each band the place of true neighbours' buckets among the probes of their queries, the best over the tables (MOST: not among them). pairs: band -> (queries, neighbours), rows alike."""
+    import numpy as np
+
+    out = {}
+    for g, (asking, found) in pairs.items():
+        band, best = bands[g], np.full(len(found), MOST)
+        q, at = np.unique(asking, axis=0, return_inverse=True)
+        at = at.ravel()
+        for t in tables if band.buckets > 1 else [0]:
+            h = CrossPolytope(dim + 1, t, band.buckets)
+            probed, own = h.near(band.lifted(q, True), MOST), h.near(band.lifted(found, False), 1)
+            same = probed[at] == own
+            best = np.minimum(best, np.where(same.any(1), same.argmax(1), MOST))
+        out[g] = best
+    return out
+
+
+def _settle(bands: list[Band], tables: int, ranks: dict, recall: float) -> bool:
+    """Raise probes where that finds most neighbours a candidate until `recall` of them is found; whether it is."""
+    steps = sorted({int(2 ** (i / 2)) for i in range(2 * MOST.bit_length() - 1)} | {MOST})
+    total = sum(map(len, ranks.values()))
+    while sum(int((r < bands[g].probes).sum()) for g, r in ranks.items()) < recall * total:
+        best = (0.0, None, 0)
+        for g, r in ranks.items():
+            b = bands[g]
+            for p in steps:
+                gain = int(((r >= b.probes) & (r < p)).sum())
+                if gain and gain / ((p - b.probes) * b.n / b.buckets * tables) > best[0]:
+                    best = gain / ((p - b.probes) * b.n / b.buckets * tables), b, p
+        if best[1] is None:
+            return False
+        best[1].probes = best[2]
+    return True
+
+
+def _hashed(rows: DataFrame, dim: int, bands: list[Band], of: dict[int, int], tables: int, query: bool) -> DataFrame:
+    """rows: uid, v, ids, octave -> uid, v, ids and t (band and table), bucket for each table and probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        hashes = [CrossPolytope(dim + 1, t, buckets) for t in range(tables)]
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+        hashes = {(b.number, t): CrossPolytope(dim + 1, t, b.buckets) for b in bands for t in range(b.tables(tables))}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                extra = np.zeros((len(v), 1)) if query else np.sqrt(np.maximum(0.0, largest**2 - (v * v).sum(1)))[:, None]
-                wide = np.concatenate([v, extra], axis=1)
-                for t, h in enumerate(hashes):
-                    code = h.near(wide, probes if query else 1)
-                    pick = np.repeat(np.arange(len(v)), code.shape[1])
-                    got = part.take(pa.array(pick))
-                    yield pa.RecordBatch.from_arrays([*got.columns, pa.array(np.full(len(pick), t, np.int32)), pa.array(code.ravel())], names=["uid", "v", "ids", "t", "bucket"])
+                own = np.array([of[o] for o in part.column(3).to_pylist()])
+                for b in bands:
+                    mine = np.arange(len(v)) if query else np.flatnonzero(own == b.number)
+                    if not len(mine):
+                        continue
+                    wide = b.lifted(v[mine], query)
+                    for t in range(b.tables(tables)):
+                        code = hashes[b.number, t].near(wide, b.probes if query else 1)
+                        pick, codes = np.repeat(mine, code.shape[1]), code.ravel()
+                        for i in range(0, len(pick), 8192):
+                            got = part.take(pa.array(pick[i : i + 8192]))
+                            n = got.num_rows
+                            yield pa.RecordBatch.from_arrays([*got.columns[:3], pa.array(np.full(n, b.number * WIDE + t, np.int32)), pa.array(codes[i : i + 8192])], names=["uid", "v", "ids", "t", "bucket"])
+
+    return rows.select("uid", "v", "ids", "octave").mapInArrow(run, "uid long, v array<double>, ids array<long>, t int, bucket long")
+
+
+def _exactly(unique: DataFrame, asks: DataFrame, n: int, k: int, bucket: int, block: int) -> DataFrame:
+    """uid, found over all vectors, in blocks that are small tasks."""
+    blocks = max(-(-n // block), min(64, -(-n // bucket)))
+    one = unique.select("uid", "v", "ids", F.lit(False).alias("ask"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("string").alias("key"))
+    every = asks.select("uid", "v", "ids", F.lit(True).alias("ask"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: x.cast("string"))).alias("key"))
+    return _merged(_meet(one.unionByName(every).select("key", "ask", "uid", "v", "ids"), k), k)
+
+
+def _plan(unique: DataFrame, asks: DataFrame, n: int, dim: int, k: int, tables: int, probes: int, bucket: int, block: int, sample: int, recall: float):
+    """Bands with their probes, the band of each half octave, and the tables that reach the recall on a sample of the queries; None where exact search costs no more."""
+    import numpy as np
 
-    return rows.select("uid", "v", "ids").mapInArrow(run, "uid long, v array<double>, ids array<long>, t int, bucket long")
+    some = cut(asks.orderBy(F.xxhash64("uid", F.lit(SEED)), "uid").limit(sample + 1), "ann-sample")
+    if some.count() <= sample:
+        return None
+    some = some.limit(sample)
+    bands, of = _bands(unique, bucket)
+    true = cut(_exactly(unique, some, n, k, bucket, block), "ann-true").select("uid", F.explode("found.vec_id").alias("id"))
+    named = unique.select(F.explode("ids").alias("id"), F.col("uid").alias("to"), F.col("v").alias("w"), "octave")
+    got = true.join(F.broadcast(some.select("uid", "v")), "uid").join(named, "id").where("uid <> to").select("v", "w", "octave").collect()  # sample * (k + 1) rows at most
+    lists: dict = {}
+    for r in got:
+        lists.setdefault(of[r["octave"]], []).append((r["v"], r["w"]))
+    pairs = {g: (np.array([a for a, _ in x]), np.array([w for _, w in x])) for g, x in lists.items()}
+    ranks: dict = {}
+    for many in (tables, 2 * tables, 4 * tables):
+        more = _ranks(bands, dim, range(many) if not ranks else range(many // 2, many), pairs)
+        ranks = {g: np.minimum(r, ranks.get(g, MOST)) for g, r in more.items()}
+        for b in bands:
+            b.probes = max(1, round(probes * b.n / n))
+        if _settle(bands, many, ranks, recall):
+            met = sum(min(1.0, b.probes / b.buckets) * b.n * b.tables(many) for b in bands)
+            if met < n:
+                return bands, of, many
+    return None
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
@@ -188,20 +305,10 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
     return every.select("uid", F.slice(best, 1, k + 1).alias("found"))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 6, probes: int = 20, bucket: int = 400, block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row whose vec_id is divisible by `every`."""
-    spark = vectors.sparkSession
-    unique, raw = distinct_vectors(vectors, k, every)
-    unique = cut(unique, "ann-unique")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    facts = unique.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"), F.max(norm).alias("m")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not facts["n"]:
-        return empty
-    buckets = max(1, -(-facts["n"] // bucket))
-    asks = unique.where("asks")
-    index = _hashed(unique, facts["d"], facts["m"], tables, 1, buckets, False)
-    probe = _hashed(asks, facts["d"], facts["m"], tables, probes, buckets, True)
+def _probed(unique: DataFrame, asks: DataFrame, facts, k: int, bucket: int, block: int, raw: DataFrame, bands: list[Band], of: dict[int, int], tables: int) -> DataFrame:
+    """uid, found by probing; exactly where too few are met."""
+    index = _hashed(unique, facts["d"], bands, of, tables, False)
+    probe = _hashed(asks, facts["d"], bands, of, tables, True)
     rows = cut(index.withColumn("ask", F.lit(False)).unionByName(probe.withColumn("ask", F.lit(True))), "ann-rows")
     # Buckets beyond a block, few at any size (rows / block at most), are split; all others have one block.
     counts = rows.groupBy("t", "bucket").agg(F.sum((~F.col("ask")).cast("long")).alias("c"), F.sum(F.col("ask").cast("long")).alias("q"))
@@ -217,11 +324,28 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 6, pr
     short = asks.join(found.where(F.size("found") >= min(k + 1, total)), "uid", "left_anti")
     short = cut(short.select("uid", "v", "ids"), "ann-short")
     if short.count():
-        blocks = -(-facts["n"] // block)
-        one = unique.select("uid", "v", "ids", F.lit(False).alias("ask"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("string").alias("key"))
-        all_blocks = short.select("uid", "v", "ids", F.lit(True).alias("ask"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: x.cast("string"))).alias("key"))
-        again = _merged(_meet(one.unionByName(all_blocks).select("key", "ask", "uid", "v", "ids"), k), k)
+        again = _exactly(unique, short, facts["n"], k, bucket, block)
         found = found.join(short.select("uid"), "uid", "left_anti").unionByName(again)
+    return found
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 6, probes: int = 20, bucket: int = 400, block: int = 4096, sample: int = 128, recall: float = 0.95) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row whose vec_id is divisible by `every`."""
+    spark = vectors.sparkSession
+    unique, raw = distinct_vectors(vectors, k, every)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    unique = unique.withColumn("norm", norm).withColumn("octave", F.floor(2 * F.log2(F.greatest("norm", F.lit(1e-300))) + 0.5).cast("int"))
+    unique = cut(unique, "ann-unique")
+    facts = unique.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not facts["n"]:
+        return empty
+    asks = unique.where("asks")
+    plan = _plan(unique, asks, facts["n"], facts["d"], k, tables, probes, bucket, block, sample, recall)
+    if plan:
+        found = _probed(unique, asks, facts, k, bucket, block, raw, *plan)
+    else:
+        found = _exactly(unique, asks, facts["n"], k, bucket, block)
     # Queries of equal vectors share an answer; each leaves itself out.
     named = raw.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v").distinct().join(asks.select("v", "uid"), "v").select("query_id", "uid")
     got = named.join(found, "uid").select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("f"))

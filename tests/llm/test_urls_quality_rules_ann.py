@@ -206,3 +206,26 @@ def test_recall(spark):
         hit += len(found & set(ids[np.argsort(-s, kind="stable")[:20]].tolist()))
         total += 20
     assert hit / total >= 0.9
+
+
+def recall_of(spark, matrix, **options):
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(matrix.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for r in ann.search(vectors, **options).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        s = matrix @ matrix[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert len(got) == -(-len(matrix) // 20)
+    return hit / (20 * len(got))
+
+
+def units(n, dim, seed):
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_recall_where_a_small_share_of_many_buckets_is_probed(spark):
+    assert recall_of(spark, units(12_000, 24, 7), bucket=12, tables=3, probes=8) >= 0.9
