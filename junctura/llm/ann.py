@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Inner products become angles by one more dimension (all vectors are brought to the largest norm by it; queries have 0
-there). A table's hash rotates a vector pseudo-randomly (three rounds of random signs and a fast Hadamard transform) and
+Inner products become angles by one more dimension. Vectors are indexed in bands of norms that differ by a factor of sqrt(2) at
+most (small neighbouring bands are one, of one bucket); each is brought to its own band's largest norm by that dimension, queries
+have 0 there and probe every band. A table's hash rotates a vector pseudo-randomly (three rounds of random signs and a fast Hadamard transform) and
 takes the nearest signed axis; where more buckets are wanted, several hashes are joined, the last over a part of the axes
 only, so that a bucket holds about `bucket` vectors at any corpus size. Queries probe the nearest buckets of each of `tables` tables; what they meet there is scored exactly, on the original vectors in
 double precision. `probes`, dealt over the bands, is the least: `sample` queries are searched exactly at the table's real size, and probes
@@ -184,16 +185,14 @@ class Band:
 
 
 def _bands(unique: DataFrame, bucket: int) -> tuple[list[Band], dict[int, int]]:
-    """One band of all norms, and the band of each half octave of norms."""
+    """Bands from the largest norm down, and the band of each half octave of norms; neighbours that fit one bucket are one band."""
     bands, of = [], {}
     for r in unique.groupBy("octave").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).orderBy(F.desc("octave")).collect():
-        if bands:
+        if bands and bands[-1].n + r["n"] <= bucket:
             bands[-1].n += r["n"]
         else:
-            bands.append(Band(0, r["top"], r["n"], bucket))
-        of[r["octave"]] = 0
-    for b in bands:
-        b.buckets = max(1, -(-b.n // bucket))
+            bands.append(Band(len(bands), r["top"], r["n"], bucket))
+        of[r["octave"]] = bands[-1].number
     return bands, of
 
 

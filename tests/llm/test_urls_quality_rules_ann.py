@@ -229,3 +229,9 @@ def units(n, dim, seed):
 
 def test_recall_where_a_small_share_of_many_buckets_is_probed(spark):
     assert recall_of(spark, units(12_000, 24, 7), bucket=12, tables=3, probes=8) >= 0.9
+
+
+def test_recall_with_one_outlier_and_with_heavy_tailed_norms(spark):
+    x, rng = units(12_000, 24, 8), np.random.default_rng(9)
+    for norms in (np.where(np.arange(len(x)) == 77, 10.0, 1.0), np.exp(rng.normal(size=len(x)))):
+        assert recall_of(spark, x * norms[:, None], bucket=40) >= 0.9
