@@ -7,7 +7,8 @@ pairs. Links are verified and deduplicated; components come from alternating lar
 written tables, so hot hubs are aggregated, never gathered.
 
 Deduplication of documents (keep_one) asks for a similarity of 0.8 over five-word shingles, at which 64-bit fingerprints differ in about ten bits. It
-hashes balls of radius 2 in each of eight 32-bit blocks of a 256-bit SimHash of word pairs. Texts that meet are compared on MinHash sketches and, within
+hashes balls of radius 2 in each of eight 32-bit blocks of a 256-bit SimHash of word pairs and, as those lose many contiguous edits, equal values of
+twenty bands of six MinHashes of the shingles (at a similarity of 0.8 these alone miss 0.2 %). Texts that meet are compared on MinHash sketches and, within
 MARGIN of the threshold, on their whole shingle sets. Chains through each ball come first; what they leave apart in a ball of three or more texts is
 then compared in full, in blocks, so no candidate is dropped however many texts a ball holds.
 
@@ -110,6 +111,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 #: Blocks of 32 bits, bins of a MinHash sketch, and four standard errors of what the sketch estimates at a similarity of 0.8.
 BLOCKS, BINS, MARGIN = 8, 512, 0.07
+#: Bands of MinHashes beside the blocks, and MinHashes of each.
+BANDS, DEEP = 20, 6
 #: Texts of a ball or value that one task takes at once; node ids below which a list of them is broadcast.
 MEET, FEW = 2_000, 200_000
 
@@ -130,14 +133,30 @@ def shingle_hashes(text: str, width: int):
     return np.fromiter([digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=True)], np.uint64, len(starts))
 
 
+def bands(g) -> list[int]:
+    """32-bit hashes of BANDS bands of DEEP MinHashes of a non-empty array of shingle hashes."""
+    import numpy as np
+    import xxhash
+
+    rng = np.random.default_rng(2_011)
+    a, b = (rng.integers(0, 1 << 63, (BANDS * DEEP, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    low = np.full(BANDS * DEEP, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(g), 4096):
+        x = (g[None, i : i + 4096] ^ b) * a
+        x ^= x >> np.uint64(32)
+        x *= a
+        low = np.minimum(low, x.min(axis=1))
+    return [xxhash.xxh32_intdigest(row.tobytes()) for row in low.reshape(BANDS, DEEP)]
+
+
 def sketch(text: str, width: int = 5) -> tuple[list[int], bytes]:
-    """A 256-bit SimHash of word pairs as BLOCKS blocks of 32 bits, and a one-permutation MinHash of word shingles, a byte a bin (0: empty)."""
+    """A 256-bit SimHash of word pairs as BLOCKS blocks of 32 bits, then BANDS bands of MinHashes, and a one-permutation MinHash of word shingles, a byte a bin (0: empty)."""
     import numpy as np
     import xxhash
 
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return [0] * BLOCKS, bytes(BINS)
+        return [0] * (BLOCKS + BANDS), bytes(BINS)
     wide, pairs = xxhash.xxh3_128_digest, [b" ".join(p) for p in zip(words, words[1:], strict=False)] or words
     ones = np.zeros(32 * BLOCKS, np.int64)
     for i in range(0, len(pairs), 4096):
@@ -148,7 +167,7 @@ def sketch(text: str, width: int = 5) -> tuple[list[int], bytes]:
     order = np.argsort(g >> np.uint64(9))[::-1]
     sig = np.zeros(BINS, np.uint8)
     sig[(g % np.uint64(BINS))[order].astype(np.int64)] = ((g >> np.uint64(9)) % np.uint64(255) + np.uint64(1))[order].astype(np.uint8)
-    return blocks, sig.tobytes()
+    return blocks + bands(g), sig.tobytes()
 
 
 def sketches(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
@@ -174,7 +193,7 @@ def resemblance(p, q):
 
 
 def _values(nodes: DataFrame) -> DataFrame:
-    """h, w: each text with the numbered values of its blocks."""
+    """h, w: each text with the numbered values of its blocks and bands."""
     return nodes.select("h", F.posexplode("blocks").alias("i", "u")).select("h", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("u")).alias("w"))
 
 
@@ -183,7 +202,8 @@ def _flip(v: str, p: str):
 
 
 def _balls(values: DataFrame) -> DataFrame:
-    """v, w, before: the distinct values in each ball that holds several (33 at most), each with the one before it."""
+    """v, w, before: the distinct values of blocks in each ball that holds several (33 at most), each with the one before it. Bands must be equal."""
+    values = values.where(F.col("w") < BLOCKS << 32)
     ball = F.array(F.col("w"), *[F.col("w").bitwiseXOR(F.lit(1 << b)) for b in range(32)])
     near = values.select(F.posexplode(ball).alias("p", "v")).select("v", F.col("p").cast("byte").alias("p"))
     along = Window.partitionBy("v").orderBy("p")

@@ -234,3 +234,33 @@ def test_write_shards(docs, spark, tmp_path):
     shard.write_shards(docs, path, shards=3)
     back = spark.read.parquet(path)
     assert back.count() == docs.count() and {r._shard for r in back.select("_shard").distinct().collect()} == {0, 1, 2}
+
+
+def shingle_jaccard(a, b):
+    x, y = (set(zip(*[t[i:] for i in range(5)], strict=False)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_one_finds_contiguous_edits(spark):
+    import random
+
+    rng = random.Random(11)
+
+    def passage(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    rows, pairs = [], 0
+    while pairs < 300:
+        a = passage(rng.randrange(200, 600))
+        n = len(a)
+        kind, part = pairs % 3, rng.uniform(0.06, 0.24)
+        k = int(part * n)
+        at = rng.randrange(n - k)
+        b = (a + passage(k), a[: n - k], a[:at] + passage(k // 2) + a[at + k // 2 :])[kind]
+        if 0.8 <= shingle_jaccard(a, b) <= 0.87:
+            rows += [(2 * pairs, " ".join(a)), (2 * pairs + 1, " ".join(b))]
+            pairs += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert {2 * i for i in range(pairs)} <= kept
+    assert len(kept) - pairs <= 2
