@@ -10,7 +10,8 @@ Deduplication of documents (keep_one) asks for a similarity of 0.8 over five-wor
 hashes balls of radius 2 in each of eight 32-bit blocks of a 256-bit SimHash of word pairs and, as those lose many contiguous edits, equal values of
 twenty bands of six MinHashes of the shingles (at a similarity of 0.8 these alone miss 0.2 %). Texts that meet are compared on MinHash sketches and, within
 MARGIN of the threshold, on their whole shingle sets. Chains through each ball come first; what they leave apart in a ball of three or more texts is
-then compared in full, in blocks, so no candidate is dropped however many texts a ball holds.
+then compared in full, in blocks: of each text and other class the TRIES partners whose sketches resemble it most are verified first, then, where
+the two are still apart, TRIES times as many, until none within the margin is left. So no candidate that meets is dropped however many texts a ball holds.
 
 Defined results: null or white texts have fingerprint zero and are linked like any other; equal texts share a fingerprint
 and cost one node; a null doc_id never becomes a component's smallest id unless all are null; an empty table gives
@@ -19,6 +20,7 @@ an empty table.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -113,6 +115,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 BLOCKS, BINS, MARGIN = 8, 512, 0.07
 #: Bands of MinHashes beside the blocks, and MinHashes of each.
 BANDS, DEEP = 20, 6
+#: Partners of a text in another class that are verified at first, and what their number grows by.
+TRIES = 8
 #: Texts of a ball or value that one task takes at once; node ids below which a list of them is broadcast.
 MEET, FEW = 2_000, 200_000
 
@@ -270,8 +274,8 @@ def _exact(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
     return both.where(jaccard("sa", "sb") >= similarity).select("a", "b")
 
 
-def _apart(nodes: DataFrame, classes: DataFrame, members: DataFrame, values: DataFrame, balls: DataFrame, least: float) -> DataFrame:
-    """a, b, e: for each ball of three or more texts of several classes, the text of every other class that each text outside the ball's largest class resembles most. Both sides are dealt in blocks of MEET that meet pairwise in a task."""
+def _apart(nodes: DataFrame, classes: DataFrame, members: DataFrame, values: DataFrame, balls: DataFrame, least: float, tries: int, only: DataFrame | None = None) -> DataFrame:
+    """a, b, to, e: for each ball of three or more texts of several classes, the `tries` texts of every other class (to) that each text b outside the ball's largest class (of those in `only`, if given) resembles most. Both sides are dealt in blocks of MEET that meet pairwise in a task."""
     lone = values.where("n > 1").select("w").join(balls.select("w"), "w", "left_anti").select(F.col("w").alias("v"), "w")
     # Of balls that hold the same values (33 at most) one stands for all.
     held = balls.groupBy("v").agg(F.sort_array(F.collect_set("w")).alias("ws")).groupBy("ws").agg(F.min("v").alias("v"))
@@ -283,7 +287,11 @@ def _apart(nodes: DataFrame, classes: DataFrame, members: DataFrame, values: Dat
     rows = rows.join(most, F.col("v") == F.col("_v"))
     salt = F.xxhash64("h")
     given = rows.select("v", F.pmod(salt, "_cb").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qb") - 1)).alias("y"), F.lit(False).alias("ask"), "h", "c")
-    asked = rows.where("c <> _top").select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cb") - 1)).alias("x"), F.pmod(salt, "_qb").alias("y"), F.lit(True).alias("ask"), "h", "c")
+    asking = rows.where("c <> _top")
+    if only is not None:
+        asking = cut(asking.join(only, "h", "left_semi"), "simhash-again")
+        given = given.join(asking.select("v").distinct(), "v", "left_semi")
+    asked = asking.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cb") - 1)).alias("x"), F.pmod(salt, "_qb").alias("y"), F.lit(True).alias("ask"), "h", "c")
     met = given.unionByName(asked).join(nodes.select("h", "sig"), "h").select(F.concat_ws(",", F.col("v").cast("string"), F.col("x").cast("string"), F.col("y").cast("string")).alias("key"), "ask", "h", "c", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,16 +311,16 @@ def _apart(nodes: DataFrame, classes: DataFrame, members: DataFrame, values: Dat
                     if matrix is None:
                         matrix = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), BINS)
                     e = resemblance(matrix, np.frombuffer(sig, np.uint8))
-                    best: dict = {}
-                    for i in np.flatnonzero(e >= least).tolist():
-                        if cs[i] != c and e[i] > best.get(cs[i], (0.0, 0))[0]:
-                            best[cs[i]] = (float(e[i]), hs[i])
-                    out += [(h, other, to, score) for to, (score, other) in best.items()]
+                    near, taken = np.flatnonzero(e >= least), Counter()
+                    for i in near[np.argsort(-e[near], kind="stable")].tolist():
+                        if cs[i] != c and taken[cs[i]] < tries:
+                            taken[cs[i]] += 1
+                            out.append((h, hs[i], cs[i], float(e[i])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["b", "a", "to", "e"])
 
     got = met.repartition("key").sortWithinPartitions("key", "ask").mapInArrow(run, "b long, a long, to long, e double")
-    best = got.groupBy("b", "to").agg(F.max(F.struct("e", "a")).alias("m"))
-    return best.select(F.col("m.a").alias("a"), "b", F.col("m.e").alias("e"))
+    best = Window.partitionBy("b", "to").orderBy(F.desc("e"), "a")
+    return got.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= tries).select("a", "b", "to", "e")
 
 
 def similar_classes(nodes: DataFrame, docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -335,11 +343,24 @@ def similar_classes(nodes: DataFrame, docs: DataFrame, width: int = 5, similarit
     links = scored.where(F.col("e") >= similarity + MARGIN).select("a", "b")
     links = links.unionByName(verified(scored, cut(grouped(links), "simhash-sure")))
     classes = cut(grouped(links), "simhash-chained")
-    rest = cut(_apart(nodes, classes, members, values, balls, similarity - MARGIN), "simhash-rest")
-    if rest.isEmpty():
-        return classes
-    links = links.unionByName(rest.where(F.col("e") >= similarity + MARGIN).select("a", "b")).unionByName(verified(rest, classes))
-    return cut(grouped(links), "simhash-classes")
+    tries, only, tried = TRIES, None, None
+    while True:
+        rest = cut(_apart(nodes, classes, members, values, balls, similarity - MARGIN, tries, only), "simhash-rest")
+        if rest.isEmpty():
+            return classes
+        # Pairs that an earlier round verified are not verified again.
+        fresh = rest if tried is None else cut(rest.join(tried, ["a", "b"], "left_anti"), "simhash-fresh")
+        tried = rest.select("a", "b") if tried is None else tried.unionByName(fresh.select("a", "b"))
+        links = links.unionByName(fresh.where(F.col("e") >= similarity + MARGIN).select("a", "b")).unionByName(verified(fresh, classes))
+        classes = cut(grouped(links), "simhash-classes")
+        # Texts that have more partners than were taken in a class that is still another.
+        full = rest.groupBy("b", "to").agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("a")).where(F.col("n") >= tries)
+        own = classes.select(F.col("h").alias("b"), F.col("c").alias("cb"))
+        other = classes.select(F.col("h").alias("a"), F.col("c").alias("ca"))
+        only = cut(full.join(own, "b").join(other, "a").where("ca <> cb").select(F.col("b").alias("h")).distinct(), "simhash-full")
+        if only.isEmpty():
+            return classes
+        tries *= TRIES
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -264,3 +264,36 @@ def test_keep_one_finds_contiguous_edits(spark):
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert {2 * i for i in range(pairs)} <= kept
     assert len(kept) - pairs <= 2
+
+
+def test_every_partner_near_the_threshold_is_verified(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng, rows, traps, trial = random.Random(13), [], 0, 0
+    while traps < 5 and trial < 400:
+        trial += 1
+        base = [f"w{rng.randrange(10**6)}" for _ in range(700)]
+        group = []
+        for _ in range(24):
+            t = list(base)
+            for at in rng.sample(range(700), 3):
+                t[at] = f"x{rng.randrange(10**6)}"
+            group.append(t)
+        n, at = round(700 * rng.uniform(0.08, 0.11)), rng.randrange(500)
+        out = base[:at] + [f"y{rng.randrange(10**6)}" for _ in range(n)] + base[at + n :]
+        true = [shingle_jaccard(out, t) for t in group]
+        if not max(true) >= 0.8 > min(true):
+            continue
+        a = np.frombuffer(simhash.sketch(" ".join(out))[1], np.uint8)
+        e = [float(simhash.resemblance(a[None], np.frombuffer(simhash.sketch(" ".join(t))[1], np.uint8)[None])[0]) for t in group]
+        order = sorted(range(24), key=lambda i: -e[i])
+        if max(e) < 0.87 and all(true[i] < 0.8 for i in order[:3]) and any(true[i] >= 0.8 and e[i] >= 0.74 for i in order):
+            rows += [(100 * traps + i, " ".join(t)) for i, t in enumerate([*group, out])]
+            traps += 1
+    assert traps == 5
+    monkeypatch.setattr(simhash, "TRIES", 2, raising=False)  # several rounds
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept) == [100 * i for i in range(traps)]
