@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .functions.aligner import align
 from .operators import filtering, junctions as J, output, spurious as S
-from .params import KEYS, Params
+from .params import KEYS
 from .plans import engine
 from .sources import text
 from .streaming import junction_stream as stream
@@ -351,7 +351,7 @@ def probe_exact_counts(spark, sf_dir):
 
 @query()
 def probe_mismatch_counts(spark, sf_dir):
-    return S.match_counts(_doc_probes(spark, sf_dir), genome(spark, sf_dir)[0], mismatches=1).select("chrom", "hits")
+    return S.match_counts(_doc_probes(spark, sf_dir), genome(spark, sf_dir)[0]).select("chrom", "hits")
 
 
 @query(f"""{_H} select chrom, start, case when {_TWO} then not ((c1 = 1 or c2 = 1) and ch = 0) when q_st - r_st >= 27 and ch = 0 then false when (c1 < 10 or c2 < 10) and ch = 0 then false
@@ -375,7 +375,7 @@ def align_pairs(spark, sf_dir):
 @query()
 def spurious_end_to_end(spark, sf_dir):
     tiles, sizes = genome(spark, sf_dir)
-    got = engine.detect(doc_junctions(spark, sf_dir), engine.settle(tiles), engine.settle(sizes), p=Params(mismatches=1))
+    got = engine.detect(doc_junctions(spark, sf_dir), engine.settle(tiles), engine.settle(sizes))
     return got.select(*KEYS, "total_score", "align_score", "seq1_count", "seq2_count", "seqh_count", "reason")
 
 

@@ -106,3 +106,50 @@ def test_bam_round_trip(spark, tmp_path):
     assert bam.write_bam(path, "@HD\tVN:1.6\n", [("c", 1000)], [row, row | {"qname": "r2", "cigar": "30M", "pos": 60}]) == 2
     got = bam.read_bam(spark, [path]).orderBy("file_ord").collect()
     assert [(r["qname"], r["chrom"], r["pos"], r["cigar"], r["xs"], r["nh"], r["sample"]) for r in got] == [("r1", "c", 50, "10M100N20M", "+", 2, "a"), ("r2", "c", 60, "30M", "+", 2, "a")]
+
+
+def test_match_counts_at_three_mismatches_against_brute_force(spark):
+    from junctura.operators import spurious
+
+    rng = random.Random(6)
+    genome = {c: "".join(rng.choice("ACGT") for _ in range(1500)) for c in ("a", "b")}
+    flip = str.maketrans("ACGT", "TGCA")
+    probes = []
+    for i in range(24):
+        seq = list(genome["ab"[i % 2]][60 * i : 60 * i + 30])
+        for at in rng.sample(range(30), i % 5):
+            seq[at] = rng.choice([x for x in "ACGT" if x != seq[at]])
+        seq = "".join(seq)
+        probes.append(seq[::-1].translate(flip) if i % 3 == 0 else seq)
+    # Copies with two and three differences, one across the border of tiles.
+    for at, n in ((985, 2), (300, 3)):
+        copy = list(probes[1])
+        for x in rng.sample(range(30), n):
+            copy[x] = "ACGT"[("ACGT".index(copy[x]) + 1) % 4]
+        genome["b"] = genome["b"][:at] + "".join(copy) + genome["b"][at + 30 :]
+    tiles = [(c, t, s[t * 1000 : t * 1000 + 1200]) for c, s in genome.items() for t in range(2)]
+    made = spark.createDataFrame([("a", i, i + 1, "+", "seqh", p) for i, p in enumerate(probes)], "chrom string, start long, end long, strand string, type string, seq string")
+
+    def places(p, most):
+        both = (p, p[::-1].translate(flip))
+        return min(11, sum(sum(x != y for x, y in zip(q, s[i : i + 30], strict=True)) <= most for q in both for s in genome.values() for i in range(len(s) - 29)))
+
+    got = {r["start"]: r["hits"] for r in spurious.match_counts(made, spark.createDataFrame(tiles, "chrom string, tile long, seq string")).collect()}
+    assert got == {i: places(p, 3) for i, p in enumerate(probes)}
+    assert got != {i: places(p, 1) for i, p in enumerate(probes)}
+
+
+def test_registered_searches_use_the_default_mismatches(spark, monkeypatch):
+    from junctura import queries
+    from junctura.operators import spurious
+
+    seen, search = [], spurious.match_counts
+
+    def recorded(made, genome, p=DEFAULT, mismatches=None):
+        seen.append(p.mismatches if mismatches is None else mismatches)
+        return search(made, genome, p, mismatches)
+
+    monkeypatch.setattr(spurious, "match_counts", recorded)
+    for name in ("probe_mismatch_counts", "spurious_end_to_end"):
+        queries.queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen == [DEFAULT.mismatches] * 2 == [3, 3]
