@@ -278,6 +278,17 @@ def completed_junctions_stream(spark, sf_dir):
         return spark.createDataFrame([], stream.OUT)
 
 
+@query(f"{_J} select chrom, start, \"end\", strand, total_score from junc")
+def all_junctions_stream(spark, sf_dir):
+    """What completes, by position or by later contigs, and what the end of the streams leaves."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp").rstrip("/") + f"/junctura-stream-{uuid.uuid4().hex}"
+    lines = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema).parquet(f"{sf_dir}/lineitem.parquet*")
+    rows = spark.sql(ALN.replace("from lineitem", "from {lineitem}"), lineitem=lines).withColumn("source", F.col("sample"))
+    contigs = [r.chrom for r in alignments(spark, sf_dir).select("tid", "chrom").distinct().orderBy("tid").collect()]
+    stream.completed(rows, 2, contigs).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.OUT).parquet(f"{base}/out").unionByName(stream.flush(spark, f"{base}/check")).select(*KEYS, "total_score")
+
+
 # Flanks, probes, rules.
 _DOCJ = f"with {_CONTIG}, dj as ({DOCJ.replace('{div}', '//')})"
 _FLANK = """fl as (select *, greatest(start - 49, 1) as rstart, least(start + 50, n) as rend, greatest("end" - 49, 1) as qstart, least("end" + 50, n) as qend from dj where greatest(start - 49, 1) <= n and greatest("end" - 49, 1) <= n),

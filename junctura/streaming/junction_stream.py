@@ -1,14 +1,15 @@
 """Junctions from streams of coordinate-sorted alignments: a junction is emitted once every source has passed its end.
 
-State is kept per contig: open junctions with their counts and each source's position. A micro-batch that carries a source's later contig closes its earlier ones. The end of
-the streams is a row with `closed` set per source, or flush() over what is left."""
+State is kept per contig: open junctions with their counts and each source's position. Where the order of the contigs is given, a micro-batch that
+carries a source's later contig closes its earlier ones. The end of the streams is a row with `closed` set per source, or flush(), which reads what is
+left in the state after the query has ended."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.junctions import events
@@ -25,8 +26,28 @@ def progress(alignments: DataFrame) -> DataFrame:
     return mapped.select("source", "chrom", "pos", C.strand(F.col("xs")).alias("strand"), F.when(F.col("cigar").contains("N"), C.introns(F.col("pos"), F.col("cigar"))).otherwise(F.array()).alias("introns"), F.coalesce(F.col("closed"), F.lit(False)).alias("closed") if "closed" in alignments.columns else F.lit(False).alias("closed"))
 
 
-def completed(alignments: DataFrame, sources: int) -> DataFrame:
-    """A streaming DataFrame of completed junctions, each once. A source that is idle holds back what it may still support; a row with `closed` ends a source on that contig."""
+def advanced(rows: DataFrame, contigs: list[str]) -> DataFrame:
+    """rows of progress() and, of each partition, a `closed` row for every contig that lies before the latest one of a source."""
+    ordinal = {c: i for i, c in enumerate(contigs)}
+
+    def run(parts: Iterator) -> Iterator:
+        import pandas as pd
+
+        latest: dict = {}
+        for part in parts:
+            for source, chrom in part[["source", "chrom"]].drop_duplicates().itertuples(index=False):
+                latest[source] = max(latest.get(source, 0), ordinal.get(chrom, 0))
+            yield part
+        shut = [(source, c) for source, n in latest.items() for c in contigs[:n]]
+        if shut:
+            yield pd.DataFrame({"source": [x for x, _ in shut], "chrom": [c for _, c in shut], "pos": 0, "strand": ".", "introns": [[] for _ in shut], "closed": True})
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def completed(alignments: DataFrame, sources: int, contigs: list[str] | None = None) -> DataFrame:
+    """A streaming DataFrame of completed junctions, each once. A source that is idle holds back what it may still support; a row with `closed` ends a source on that contig, as
+    does its first row on a later one of `contigs` (in the order of the streams)."""
 
     def run(key: tuple, parts: Iterator, state) -> Iterator:
         import pandas as pd
@@ -47,7 +68,17 @@ def completed(alignments: DataFrame, sources: int) -> DataFrame:
             done.sort()
             yield pd.DataFrame({"chrom": key[0], "start": [d[0] for d in done], "end": [d[1] for d in done], "strand": [d[2] for d in done], "total_score": [d[3] for d in done]})
 
-    return progress(alignments).groupBy("chrom").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
+    rows = progress(alignments) if contigs is None else advanced(progress(alignments), contigs)
+    return rows.groupBy("chrom").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
+
+
+def flush(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The junctions that a query over completed(), ended and with this checkpoint, has counted and not emitted."""
+    state = spark.read.format("statestore").load(checkpoint)
+    text = F.get_json_object(F.col("value.groupState.state"), "$[0]")
+    left = state.select(F.col("key.chrom").alias("chrom"), F.explode(F.from_json(text, "map<string,long>")).alias("k", "total_score"))
+    part = F.split("k", ",")
+    return left.select("chrom", part[0].cast("long").alias("start"), part[1].cast("long").alias("end"), part[2].alias("strand"), "total_score")
 
 
 def completed_in_batch(alignments: DataFrame, sources: int) -> tuple[DataFrame, DataFrame]:

@@ -153,3 +153,25 @@ def test_registered_searches_use_the_default_mismatches(spark, monkeypatch):
     for name in ("probe_mismatch_counts", "spurious_end_to_end"):
         queries.queries()[name](spark, "/root/testdata/sf0.001")
     assert seen == [DEFAULT.mismatches] * 2 == [3, 3]
+
+
+def test_streams_close_earlier_contigs_and_flush_the_rest(spark, tmp_path):
+    from junctura.streaming import junction_stream as stream
+
+    kind = "source string, tid int, chrom string, pos long, flag int, cigar string, xs string"
+    # Both sources end on c1 before the junction 110-210 does; d has none of c3; c3 is never passed.
+    batches = [
+        [("a", 0, "c1", 100, 0, "10M100N10M", "+"), ("d", 0, "c1", 100, 0, "10M100N10M", "+")],
+        [("a", 1, "c2", 100, 0, "10M50N10M", "-")],
+        [("d", 1, "c2", 100, 0, "10M50N10M", "-"), ("d", 1, "c2", 400, 0, "20M", "+"), ("a", 2, "c3", 50, 0, "10M30N10M", "+")],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        read = stream.read_alignments_stream(spark, str(tmp_path / "in"), kind)
+        run = stream.completed(read, 2, ["c1", "c2", "c3"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        done = {tuple(r) for r in spark.read.schema(stream.OUT).parquet(str(tmp_path / "out")).collect()} if i else set()
+        left = {tuple(r) for r in stream.flush(spark, str(tmp_path / "check")).collect()}
+        if i == 1:
+            assert done == set() and left == {("c1", 110, 210, "+", 2), ("c2", 110, 160, "-", 1)}
+    assert done == {("c1", 110, 210, "+", 2), ("c2", 110, 160, "-", 2)} and left == {("c3", 60, 90, "+", 1)}
