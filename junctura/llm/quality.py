@@ -170,8 +170,8 @@ def held_out(key: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, lines: int = 64) -> Chain:
-    """Fit on documents of docs that labels know and that are not held out; at most `sample` of either class, at most `lines` lines of each."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> Chain:
+    """Fit on documents of docs that labels know and that are not held out; at most `sample` of either class, whole."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("_y").alias("_y"))
     shares = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, lines: int = 6
 
     def make():
         def run(keys, texts):
-            return [keys[0], keys[1], [line_features(x)[0][:lines].tolist() for x in texts]]
+            return [keys[0], keys[1], [line_features(x)[0].tolist() for x in texts]]
 
         return run
 

@@ -235,3 +235,17 @@ def test_recall_with_one_outlier_and_with_heavy_tailed_norms(spark):
     x, rng = units(12_000, 24, 8), np.random.default_rng(9)
     for norms in (np.where(np.arange(len(x)) == 77, 10.0, 1.0), np.exp(rng.normal(size=len(x)))):
         assert recall_of(spark, x * norms[:, None], bucket=40) >= 0.9
+
+
+def test_training_sees_lines_beyond_the_first_64(spark):
+    rng = random.Random(14)
+
+    def lines(n, words):
+        return [" ".join(rng.choice(words) for _ in range(9)) for _ in range(n)]
+
+    fine, junk = ["river", "mountain", "little", "garden", "the", "of", "reads"], ["$$$", "|||", "###", "%%9", "0&0"]
+    rows = [(i, "\n".join(lines(70, fine) + lines(90, junk if i % 2 else fine))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score(docs, known).collect()}
+    assert max(got[i] for i in got if i % 2) + 0.2 < min(got[i] for i in got if i % 2 == 0)
