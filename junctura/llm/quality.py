@@ -174,6 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> Chain:
     """Fit on documents of docs that labels know and that are not held out; at most `sample` of either class, whole."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("_y").alias("_y"))
+    # Of the labelled documents only those that docs holds count and are sampled.
+    known = cut(known.join(docs.select(F.col("doc_id").cast("long").alias("_d")), F.col("_id") == F.col("_d"), "left_semi"), "quality-known")
     shares = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     picked = [known.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(sample) for c in (0, 1)]
     ids = cut(picked[0].unionByName(picked[1]), "quality-sample")  # at most 2 * sample rows

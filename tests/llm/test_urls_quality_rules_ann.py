@@ -249,3 +249,12 @@ def test_training_sees_lines_beyond_the_first_64(spark):
     known = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, quality int")
     got = {r.doc_id: r.score for r in quality.score(docs, known).collect()}
     assert max(got[i] for i in got if i % 2) + 0.2 < min(got[i] for i in got if i % 2 == 0)
+
+
+def test_training_samples_the_labelled_documents_that_are_left(spark):
+    known = spark.createDataFrame([(i, int(i < 500)) for i in range(1000)], "doc_id long, quality int")
+    order = [r.doc_id for r in known.where("quality = 0").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").collect()]
+    left = [*range(100), *order[-60:]]
+    docs = spark.createDataFrame([(i, "a river reads the garden of mountains\n" * 5 if i < 500 else "$$$ ||| ### 0&0\n" * 5) for i in left], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(docs, known, sample=40).collect()}
+    assert max(got[i] for i in got if i >= 500) < 0.3 < 0.5 < min(got[i] for i in got if i < 500)
