@@ -299,9 +299,9 @@ def _plan(unique: DataFrame, asks: DataFrame, n: int, dim: int, k: int, tables:
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
     """The k + 1 best of each uid over all that was found for it."""
-    every = found.groupBy("uid").agg(F.flatten(F.collect_list("found")).alias("f"))
-    best = F.array_sort(F.array_distinct("f"), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["vec_id"] < b["vec_id"], -1).when(a["vec_id"] > b["vec_id"], 1).otherwise(0))
-    return every.select("uid", F.slice(best, 1, k + 1).alias("found"))
+    rows = found.repartition("uid").select("uid", F.explode("found").alias("f")).select("uid", "f.score", "f.vec_id").distinct()
+    best = rows.groupBy("uid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k + 1).alias("b"))
+    return best.select("uid", F.transform("b", lambda x: F.struct((-x["less"]).alias("score"), x["vec_id"].alias("vec_id"))).alias("found"))
 
 
 def _probed(unique: DataFrame, asks: DataFrame, facts, k: int, bucket: int, block: int, raw: DataFrame, bands: list[Band], of: dict[int, int], tables: int) -> DataFrame:
