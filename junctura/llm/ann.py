@@ -299,8 +299,11 @@ def _plan(unique: DataFrame, asks: DataFrame, n: int, dim: int, k: int, tables:
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
     """The k + 1 best of each uid over all that was found for it."""
-    rows = found.repartition("uid").select("uid", F.explode("found").alias("f")).select("uid", "f.score", "f.vec_id").distinct()
-    best = rows.groupBy("uid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k + 1).alias("b"))
+    every = found.groupBy("uid").agg(F.flatten(F.collect_list("found")).alias("f"))
+    every = every.select("uid", F.sort_array(F.transform("f", lambda x: F.struct((-x["score"]).alias("less"), x["vec_id"].alias("vec_id")))).alias("s"))
+    # Sorted, so repeated pairs are neighbours.
+    once = F.filter("s", lambda x, i: (i == 0) | (x != F.get("s", i - 1)))
+    best = every.select("uid", F.slice(once, 1, k + 1).alias("b"))
     return best.select("uid", F.transform("b", lambda x: F.struct((-x["less"]).alias("score"), x["vec_id"].alias("vec_id"))).alias("found"))
 
 
