@@ -78,17 +78,19 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGT", "TGCA"))
 
 
-def rescore(cigar: str, r: str, q: str, r_st: int, q_st: int, scoring) -> int:
-    """Score of an alignment from its CIGAR: matches less mismatches, each gap at the cheaper of the two affine costs."""
-    import re
-
-    total, i, j = 0, r_st, q_st
-    for n, op in ((int(a), b) for a, b in re.findall(r"([0-9]+)([MIDNSHP=XB])", cigar)):
-        if op == "M":
-            same = sum(x.upper() == y.upper() for x, y in zip(r[i : i + n], q[j : j + n], strict=True))
-            total += same * scoring.match - (n - same) * scoring.mismatch
-            i, j = i + n, j + n
-        elif op in "ID":
-            total -= min(scoring.gap_open + n * scoring.gap_extend, scoring.gap_open_long + n * scoring.gap_extend_long)
-            i, j = i + n * (op == "D"), j + n * (op == "I")
-    return total
+def rescored(cigar: Column, r: Column, q: Column, r_st: Column, q_st: Column, scoring) -> Column:
+    """Score of an alignment from its CIGAR (M, I, D) and the two sequences from r_st and q_st (0-based) on: matches less mismatches, each gap at the cheaper of the two affine costs. One fold over the operations."""
+
+    def step(acc: Column, op: Column) -> Column:
+        n, kind = F.left(op, F.length(op) - 1).cast("int"), F.right(op, F.lit(1))
+        differ = hamming(F.upper(F.substring(r, acc["i"] + 1, n)), F.upper(F.substring(q, acc["j"] + 1, n)))
+        gap = F.least(scoring.gap_open + n * scoring.gap_extend, scoring.gap_open_long + n * scoring.gap_extend_long)
+        gain = F.when(kind == "M", (n - differ) * scoring.match - differ * scoring.mismatch).when(kind.isin("I", "D"), -gap).otherwise(F.lit(0))
+        return F.struct(
+            (acc["i"] + F.when(kind.isin("M", "D"), n).otherwise(F.lit(0))).alias("i"),
+            (acc["j"] + F.when(kind.isin("M", "I"), n).otherwise(F.lit(0))).alias("j"),
+            (acc["total"] + gain).alias("total"),
+        )
+
+    start = F.struct(r_st.cast("int").alias("i"), q_st.cast("int").alias("j"), F.lit(0).alias("total"))
+    return F.aggregate(cigar_ops(cigar), start, step)["total"]

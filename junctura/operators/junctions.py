@@ -52,13 +52,17 @@ def overlapping(alignments: DataFrame, chrom: str, start: int, end: int) -> Data
     return rows.where(F.col("pos") + F.greatest(C.reference_length(F.col("cigar")), F.lit(1)) > start)
 
 
-def region_counts(alignments: DataFrame, region: str | None) -> DataFrame:
-    """Counts of one region "chrom:start-end" (1-based, inclusive); a malformed region gives no rows."""
+def in_region(alignments: DataFrame, region: str | None) -> DataFrame:
+    """Mapped alignments that overlap a region "chrom:start-end" (1-based, inclusive); a malformed region gives none."""
     import re
 
     m = re.fullmatch(r"([^:]+):([0-9]+)-([0-9]+)", region or "")
-    rows = overlapping(alignments, m[1], int(m[2]) - 1, int(m[3])) if m else alignments.limit(0)
-    return counts(rows)
+    return overlapping(alignments, m[1], int(m[2]) - 1, int(m[3])) if m else alignments.limit(0)
+
+
+def region_counts(alignments: DataFrame, region: str | None) -> DataFrame:
+    """Counts of one region."""
+    return counts(in_region(alignments, region))
 
 
 def by_tile(alignments: DataFrame, tile: int = DEFAULT.scan_tile) -> DataFrame:
@@ -86,6 +90,21 @@ def require_sorted(header: str) -> None:
         raise ValueError("the file is not sorted by coordinate")
 
 
+def merge_files(spark, paths: list[str]) -> DataFrame:
+    """Alignments of several sorted BAM files in one order, with file_idx, the place of each file in the list."""
+    from ..sources import bam
+
+    out: DataFrame | None = None
+    for i, path in enumerate(paths):
+        with bam.opened(path) as f:
+            require_sorted(bam.header(bam.Stream(f))[0])
+        got = bam.read_bam(spark, [path]).withColumn("file_idx", F.lit(i))
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        raise ValueError("no file is given")
+    return merge_order(out)
+
+
 def without(junctions: DataFrame, others: DataFrame) -> DataFrame:
     """Junctions whose key is not among others (trusted or spurious): an anti join, broadcast only where Spark knows the set to be small."""
     return junctions.join(others.select(*KEYS).distinct(), KEYS, "left_anti")

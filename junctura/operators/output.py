@@ -6,21 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import KEYS
+from ..shared import cut
+
+
+def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with rank (from 1, in the given order) and _all, their number: range-partitioned, written once, counted per partition, each partition numbered from its offset, so that no task holds more than a partition."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    parts = placed.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.orderBy("_p")  # a row a partition
+    before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    got = placed.withColumn("_in", within).join(parts.select("_p", before.alias("_before"), every.alias("_all")), F.col("_part") == F.col("_p"))
+    return got.withColumn("rank", F.col("_before") + F.col("_in")).drop("_in", "_part", "_p", "_before")
 
 
 def numbered(junctions: DataFrame, digits: int | None = None) -> DataFrame:
-    """junctions with rank (from 1, by key) and name "JUNC" and the rank, padded to `digits` or to the digits of their number (0: not padded).
-
-    Ranks come in two steps, so that no task holds all rows: rows of a contig in order, and contigs' totals before them."""
-    per = junctions.groupBy(F.col("chrom").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    every = F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    per = per.select("_c", before.alias("_before"), every.alias("_all"))
-    within = F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end", "strand"))
-    rows = junctions.withColumn("_in", within).join(per, F.col("chrom") == F.col("_c")).withColumn("rank", F.col("_before") + F.col("_in"))
+    """junctions with rank (from 1, by key) and name "JUNC" and the rank, padded to `digits` or to the digits of their number (0: not padded)."""
+    rows = ranked(junctions, KEYS)
     number = F.col("rank").cast("string")
     width = F.length(F.col("_all").cast("string")) if digits is None else F.lit(digits)
-    return rows.withColumn("name", F.concat(F.lit("JUNC"), F.when(F.length(number) >= width, number).otherwise(F.lpad(number, width, F.lit("0"))))).drop("_in", "_c", "_before", "_all")
+    return rows.withColumn("name", F.concat(F.lit("JUNC"), F.when(F.length(number) >= width, number).otherwise(F.lpad(number, width, F.lit("0"))))).drop("_all")
 
 
 def ordered_samples(samples: Column, order: list[str] | None) -> Column:
@@ -67,4 +73,4 @@ def write_by_sample(rows: DataFrame, path: str) -> None:
     rows.repartition("sample").sortWithinPartitions("sample", "rank").select("sample", "value").write.mode("overwrite").partitionBy("sample").text(path)
 
 
-__all__ = ["KEYS", "bed6", "by_sample", "layout", "numbered", "ordered_samples", "write_by_sample", "write_text"]
+__all__ = ["KEYS", "bed6", "by_sample", "layout", "numbered", "ordered_samples", "ranked", "write_by_sample", "write_text"]

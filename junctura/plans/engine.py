@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import filtering, junctions as J, spurious as S
 from ..params import DEFAULT, KEYS, Params
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once, reliably: written to the shared folder where one is set, cached otherwise."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/junctura-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import cut as settle
+from ..shared import discard
 
 
 def aligned_flanks(found: DataFrame, genome: DataFrame, sizes: DataFrame, trusted: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
@@ -29,18 +19,25 @@ def aligned_flanks(found: DataFrame, genome: DataFrame, sizes: DataFrame, truste
     return S.self_aligned(S.flank_sequences(rows, genome, sizes, p), p)
 
 
-def detect(found: DataFrame, genome: DataFrame, sizes: DataFrame, trusted: DataFrame | None = None, is_bam: bool = True, p: Params = DEFAULT) -> DataFrame:
-    """Spurious junctions with align_score, counts and reason. Of alignments, junctions with too low a score need no search in the genome."""
-    aligned = settle(aligned_flanks(found, genome, sizes, trusted, p))
-    aligned = aligned.withColumn("align_score", F.col("hit.score"))
+def by_score(aligned: DataFrame, is_bam: bool, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Of junctions with a self-alignment (whose score becomes align_score): those whose score is too low to need a search in the genome (of alignments only), and the rest."""
+    rows = aligned.withColumn("align_score", F.col("hit.score"))
     low = F.lit(is_bam) & (F.col("total_score") <= p.min_junc_score)
-    scarce = aligned.where(low).withColumn("reason", F.lit("low score"))
-    rest = aligned.where(~low)
-    counted = S.with_counts(rest, S.match_counts(S.probes(rest, p), genome, p))
-    judged = counted.where(S.verdict(p)).withColumn("reason", F.lit("repeat"))
+    return rows.where(low), rows.where(~low)
+
+
+def spurious(scarce: DataFrame, counted: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The union of those with too low a score and of those that the rules find spurious by their counts, with reason."""
     for t in ("seq1_count", "seq2_count", "seqh_count"):
         scarce = scarce.withColumn(t, F.lit(0).cast("long"))
-    return judged.unionByName(scarce, allowMissingColumns=True)
+    judged = counted.where(S.verdict(p)).withColumn("reason", F.lit("repeat"))
+    return judged.unionByName(scarce.withColumn("reason", F.lit("low score")), allowMissingColumns=True)
+
+
+def detect(found: DataFrame, genome: DataFrame, sizes: DataFrame, trusted: DataFrame | None = None, is_bam: bool = True, p: Params = DEFAULT) -> DataFrame:
+    """Spurious junctions with align_score, counts and reason."""
+    scarce, rest = by_score(settle(aligned_flanks(found, genome, sizes, trusted, p), "aligned"), is_bam, p)
+    return spurious(scarce, S.with_counts(rest, S.match_counts(S.probes(rest, p), genome, p)), p)
 
 
 @dataclass
@@ -76,17 +73,30 @@ def from_junctions(found: DataFrame, genome: DataFrame, sizes: DataFrame, truste
     return _result(found, settle(detect(found, genome, sizes, trusted, False, p)))
 
 
-def build_genome(spark: SparkSession, fasta: str, out: str, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Tiles and sizes of a FASTA file as Parquet; what is there already is used again, and a folder is complete once Spark's success marker is in it."""
+def build_genome(spark: SparkSession, fasta: str, out: str, p: Params = DEFAULT, patience: float = 3600) -> tuple[DataFrame, DataFrame]:
+    """Tiles and sizes of a FASTA file as Parquet; what is there already is used again, and a folder is complete once Spark's success marker is in it. Of two that would build it, the one that makes the lock file does, and the other waits for it (for `patience` seconds at most)."""
+    import time
+
     from ..sources import text
 
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    done = hadoop.Path(f"{out}/sizes/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
-        parts = text.parse_fasta(text.read_lines(spark, [fasta]))
-        text.tiles(parts, p.tile, p.tile_overlap).write.mode("overwrite").parquet(f"{out}/tiles")
-        text.chrom_sizes(parts).write.mode("overwrite").parquet(f"{out}/sizes")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    done, lock = path(f"{out}/sizes/_SUCCESS"), path(f"{out}.lock")
+    files = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    until = time.monotonic() + patience
+    while not files.exists(done):
+        if files.createNewFile(lock):
+            try:
+                if not files.exists(done):
+                    parts = settle(text.parse_fasta(text.read_lines(spark, [fasta])), "fasta")
+                    text.tiles(parts, p.tile, p.tile_overlap).write.mode("overwrite").parquet(f"{out}/tiles")
+                    text.chrom_sizes(parts).write.mode("overwrite").parquet(f"{out}/sizes")
+                    discard(parts)
+            finally:
+                files.delete(lock, False)
+        elif time.monotonic() > until:
+            raise OSError(f"{out} is being built by another run for too long; remove {out}.lock if there is none")
+        else:
+            time.sleep(1)
     return spark.read.parquet(f"{out}/tiles"), spark.read.parquet(f"{out}/sizes")
 
 

@@ -39,6 +39,12 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def file_order(lines: DataFrame) -> DataFrame:
+    """lines with `at`: a number that grows along each file. A block's first line takes the block's place in bytes, each further line one more, which stays below the next block's place; so only a row a block is gathered, never a file."""
+    first = lines.groupBy(F.col("path").alias("_path"), F.col("block").alias("_block")).agg(F.min("line").alias("_first"))
+    return lines.join(first, (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block"))).withColumn("at", F.col("block") + F.col("line") - F.col("_first")).drop("_path", "_block", "_first")
+
+
 def with_sample(lines: DataFrame) -> DataFrame:
     name = F.element_at(F.split(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "/"), -1)
     return lines.withColumn("sample", F.when(name.contains("."), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name))
@@ -113,22 +119,51 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
     return gtf_junctions(parse_gtf(read_lines(spark, [path])))
 
 
-def parse_sam(lines: DataFrame) -> DataFrame:
-    """sample, block, line, value -> alignments: sample, file_ord, qname, flag, chrom, pos (0-based), mpos, cigar, tlen, xs, nh, yc, rest."""
+def parse_sam(lines: DataFrame, contigs: list[str] | None = None) -> DataFrame:
+    """sample, at (grows along the file), value -> alignments with the columns of BAM files. contigs: their names in header order, for tid and mtid (null without)."""
+    from .bam import packed_quality, packed_tags
+
     c = F.split("value", "\t")
     tags = F.slice(c, 12, 10_000)
     tag = lambda name: F.substring(F.get(F.filter(tags, lambda t: t.startswith(name)), F.lit(0)), len(name) + 1, 1 << 20)
     rows = lines.where(~F.col("value").startswith("@") & (F.length("value") > 0))
-    order = F.row_number().over(Window.partitionBy("sample").orderBy("block", "line"))
+    chrom = F.when(c[2] != "*", c[2])
+    mate = F.when(c[6] == "=", chrom).when(c[6] != "*", c[6])
+    ordinal = F.create_map(*[F.lit(x) for i, name in enumerate(contigs) for x in (name, i)]) if contigs else None
+    number = lambda x: F.lit(None).cast("int") if ordinal is None else F.coalesce(F.get(F.map_values(F.map_filter(ordinal, lambda k, v: k == x)), F.lit(0)), F.lit(-1))
     return rows.select(
-        "sample", order.cast("long").alias("file_ord"), c[0].alias("qname"), c[1].cast("int").alias("flag"), F.when(c[2] != "*", c[2]).alias("chrom"),
-        (c[3].cast("long") - 1).alias("pos"), (c[7].cast("long") - 1).alias("mpos"), c[5].alias("cigar"), c[8].cast("long").alias("tlen"),
-        tag("XS:A:").alias("xs"), tag("NH:i:").cast("int").alias("nh"), tag("YC:i:").cast("int").alias("yc"), F.col("value").alias("rest"),
+        "sample", F.col("at").alias("file_ord"), c[0].alias("qname"), c[1].cast("int").alias("flag"), number(chrom).alias("tid"), chrom.alias("chrom"),
+        (c[3].cast("long") - 1).alias("pos"), c[4].cast("int").alias("mapq"), number(mate).alias("mtid"), (c[7].cast("long") - 1).alias("mpos"), c[8].cast("long").alias("tlen"), c[5].alias("cigar"),
+        tag("XS:A:").alias("xs"), tag("NH:i:").cast("int").alias("nh"), tag("YC:i:").cast("int").alias("yc"),
+        F.when(c[9] == "*", F.lit("")).otherwise(c[9]).alias("seq"), packed_quality(c[10]).alias("qual"), packed_tags(F.array_join(tags, "\t")).alias("tags"),
     )
 
 
+def sam_header(path: str) -> tuple[str, list[tuple[str, int]]]:
+    """The header's text and its contigs with their lengths; read on the driver, as headers are small."""
+    import gzip
+
+    from ..detect import GZIP, magic
+
+    kept = []
+    with (gzip.open if magic(path, 2) == GZIP else open)(path, "rt") as f:
+        for line in f:
+            if not line.startswith("@"):
+                break
+            kept.append(line)
+    fields = [dict(x.split(":", 1) for x in line.rstrip("\n").split("\t")[1:]) for line in kept if line.startswith("@SQ")]
+    return "".join(kept), [(x["SN"], int(x["LN"])) for x in fields]
+
+
 def read_sam(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return parse_sam(with_sample(read_lines(spark, paths)))
+    """Alignments of SAM files, each with its own header."""
+    out: DataFrame | None = None
+    for path in paths:
+        got = parse_sam(with_sample(file_order(read_lines(spark, [path]))), [name for name, _ in sam_header(path)[1]])
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        raise ValueError("no SAM file is given")
+    return out
 
 
 def probe_hits(sam_lines: DataFrame) -> DataFrame:
@@ -141,13 +176,23 @@ def probe_hits(sam_lines: DataFrame) -> DataFrame:
 
 
 def parse_fasta(lines: DataFrame) -> DataFrame:
-    """lines: path, block, line, value -> chrom, at (0-based), part: the sequence lines, upper-cased, with their places."""
-    file = Window.partitionBy("path").orderBy("block", "line")
+    """lines: path, block, line, value -> chrom, at (0-based), part: the sequence lines, upper-cased, with their places. Each block of a file is numbered alone; what a block begins with (its contig, and how much of it there is before) comes from a table of a row a block and contig."""
     head = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1))
-    rows = lines.select("path", "block", "line", "value", F.last(head, ignorenulls=True).over(file).alias("chrom")).where(~F.col("value").startswith(">") & (F.length(F.trim("value")) > 0))
+    along = Window.partitionBy("path", "block").orderBy("line")
+    rows = lines.select("path", "block", "line", "value", F.last(head, ignorenulls=True).over(along).alias("_own"))
+    blocks = rows.groupBy("path", "block").agg(F.max_by("_own", "line").alias("_last"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
     part = F.upper(F.trim("value"))
-    before = F.coalesce(F.sum(F.length(part)).over(Window.partitionBy("path", "chrom").orderBy("block", "line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("chrom", before.cast("long").alias("at"), part.alias("part"))
+    rows = rows.where(~F.col("value").startswith(">") & (F.length(F.trim("value")) > 0)).join(blocks, ["path", "block"])
+    rows = rows.select("path", "block", "line", F.coalesce("_own", "_carried").alias("chrom"), part.alias("part"))
+    sums = rows.groupBy("path", "block", "chrom").agg(F.sum(F.length("part")).alias("_n"))
+    ahead = Window.partitionBy("path", "chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("path", "block", "chrom", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("path", "block", "chrom").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum(F.length("part")).over(within), F.lit(0)))
+    rows = rows.join(sums.select(*[F.col(c).alias(f"_{c}") for c in ("path", "block", "chrom")], "_before"), (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block")) & F.col("chrom").eqNullSafe(F.col("_chrom")))
+    return rows.select("chrom", (F.col("_before") + F.col("_in")).cast("long").alias("at"), "part")
 
 
 def tiles(parts: DataFrame, tile: int = DEFAULT.tile, overlap: int = DEFAULT.tile_overlap) -> DataFrame:
@@ -172,13 +217,18 @@ def read_genome(spark: SparkSession, path: str, **options) -> tuple[DataFrame, D
     return tiles(parts, **options), chrom_sizes(parts)
 
 
-def mask(parts: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Sequence parts with N in the given intervals (chrom, start, end; 0-based, half-open). Intervals of a part are applied in one fold."""
-    hits = parts.join(intervals.select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e")), (F.col("chrom") == F.col("_c")) & (F.col("at") < F.col("_e")) & (F.col("_s") < F.col("at") + F.length("part")), "left")
-    found = hits.groupBy("chrom", "at", "part").agg(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct(F.col("_s").alias("s"), F.col("_e").alias("e")))).alias("ms"))
+def mask(parts: DataFrame, intervals: DataFrame, width: int = 100_000) -> DataFrame:
+    """Sequence parts with N in the given intervals (chrom, start, end; 0-based, half-open): an equi-join on bins of `width`, then one fold over a part's intervals."""
+    parts = parts.withColumn("_z", F.col("at") + F.length("part"))
+    reach = lambda a, z: F.sequence(F.floor(F.col(a) / width), F.floor((F.greatest(F.col(z), F.col(a) + 1) - 1) / width))
+    left = parts.select("chrom", "at", "_z", F.explode(reach("at", "_z")).alias("_bin"))
+    holes = intervals.where("start < end").select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e")).withColumn("_b", F.explode(reach("_s", "_e")))
+    met = left.join(holes, (F.col("chrom") == F.col("_c")) & (F.col("_bin") == F.col("_b")) & (F.col("at") < F.col("_e")) & (F.col("_s") < F.col("_z")))
+    found = met.groupBy(F.col("chrom").alias("_pc"), F.col("at").alias("_pa")).agg(F.collect_set(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"))).alias("ms"))
+    rows = parts.join(found, (F.col("chrom") == F.col("_pc")) & (F.col("at") == F.col("_pa")), "left")
 
     def cover(seq, m):
         a, b = F.greatest(m["s"] - F.col("at"), F.lit(0)).cast("int"), F.least(m["e"] - F.col("at"), F.length("part")).cast("int")
         return F.concat(F.left(seq, a), F.repeat(F.lit("N"), b - a), F.substring(seq, b + 1, F.length("part")))
 
-    return found.select("chrom", "at", F.aggregate("ms", F.col("part"), cover).alias("part"))
+    return rows.select("chrom", "at", F.when(F.col("ms").isNull(), F.col("part")).otherwise(F.aggregate("ms", F.col("part"), cover)).alias("part"))

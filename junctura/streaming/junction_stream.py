@@ -72,6 +72,17 @@ def completed(alignments: DataFrame, sources: int, contigs: list[str] | None = N
     return rows.groupBy("chrom").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
 
 
+def observed(junctions: DataFrame, name: str | None = None):
+    """junctions, and their number and total score as an observation: of a batch once it has run, of a stream (where a name must be given) with each progress report."""
+    from pyspark.sql import Observation
+
+    totals = [F.count(F.lit(1)).alias("junctions"), F.coalesce(F.sum("total_score"), F.lit(0)).alias("alignments")]
+    if junctions.isStreaming:
+        return junctions.observe(name or "junctions", *totals), None
+    seen = Observation(name) if name else Observation()
+    return junctions.observe(seen, *totals), seen
+
+
 def flush(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The junctions that a query over completed(), ended and with this checkpoint, has counted and not emitted."""
     state = spark.read.format("statestore").load(checkpoint)

@@ -2,10 +2,11 @@
 
 import gzip
 import random
+import re
 
 import pytest
 
-from junctura import detect, paths
+from junctura import detect, naming
 from junctura.functions import aligner
 from junctura.params import DEFAULT
 from junctura.sources import bam, text
@@ -62,50 +63,316 @@ def test_detection(tmp_path):
         detect.read_path_list(write(tmp_path / "bad.txt", "/no/such/file\n"))
 
 
-def test_paths(tmp_path):
-    assert paths.is_file_path("out.bed") and not paths.is_file_path("results/") and not paths.is_file_path(str(tmp_path))
-    assert paths.bam_output_paths(["x/a.bam", "y/b.bam"], "results/out.bam", "_f") == ["results/a_f.bam", "results/b_f.bam"]
-    assert paths.bam_output_paths(["x/a.bam"], "results/out.bam") == ["results/out.bam"]
-    assert paths.removed_bam_path("a.bam") == "a_removed_alignments.bam"
-    assert paths.sample_name("d/x.bed.gz") == "x.bed" and paths.fasta_basename("d/g.fa.gz") == "g"
+def test_names(tmp_path):
+    T = naming.Target
+    assert T("out.bed").is_file and not T("results/").is_file and not T(str(tmp_path)).is_file and not T("").is_file
+    assert (T("out.bed").folder, T("a/out.bed").folder, T("a/b").folder, T("").folder) == (None, "a", "a/b", None)
+    assert T("results/out.bam").files(["x/a.bam", "y/b.bam"], "_f", ".bam") == ["results/a_f.bam", "results/b_f.bam"]
+    assert T("results/out.bam").files(["x/a.bam"], "_f", ".bam") == ["results/out.bam"]
+    assert T("out.bam").files(["x/a.bam", "b.bam"], "", ".bam") == ["./a.bam", "./b.bam"]
+    assert T("dir").files(["x/a.bam"], "_f", ".bam") == ["dir/a_f.bam"]
+    assert naming.beside("a.bam", "_removed_alignments", ".bam") == "a_removed_alignments.bam"
+    assert naming.sample_name("d/x.bed.gz") == "x.bed" and naming.genome_name("d/g.fa.gz") == "g" and naming.genome_name("d\\g.v1.fasta") == "g.v1" and naming.sample_name("x") == "x"
 
 
-def best_score(r: str, q: str) -> int:
-    """Affine-gap local alignment, cell by cell."""
+def plain_hit(r: str, q: str):
+    """Affine-gap local alignment cell by cell, with the traceback over best scores only: diagonal, then a gap in r, then a gap in q."""
     s, low = DEFAULT.scoring, -(10**6)
     h = [[0] * (len(q) + 1) for _ in range(len(r) + 1)]
     e = [[low] * (len(q) + 1) for _ in range(len(r) + 1)]
     f = [[low] * (len(q) + 1) for _ in range(len(r) + 1)]
+    pair = lambda i, j: -s.ambiguous if "N" in (r[i - 1], q[j - 1]) else s.match if r[i - 1] == q[j - 1] else -s.mismatch
+    best, at = 0, (0, 0)
     for i in range(1, len(r) + 1):
         for j in range(1, len(q) + 1):
             e[i][j] = max(e[i][j - 1] - s.gap_extend, h[i][j - 1] - s.gap_open - s.gap_extend)
             f[i][j] = max(f[i - 1][j] - s.gap_extend, h[i - 1][j] - s.gap_open - s.gap_extend)
-            pair = -s.ambiguous if "N" in (r[i - 1], q[j - 1]) else s.match if r[i - 1] == q[j - 1] else -s.mismatch
-            h[i][j] = max(0, h[i - 1][j - 1] + pair, e[i][j], f[i][j])
-    return max(map(max, h))
+            h[i][j] = max(0, h[i - 1][j - 1] + pair(i, j), e[i][j], f[i][j])
+            if h[i][j] > best:
+                best, at = h[i][j], (i, j)
+    if best < DEFAULT.min_score:
+        return None
+    (i, j), ops = at, ""
+    while i and j and h[i][j] > 0:
+        if h[i][j] == h[i - 1][j - 1] + pair(i, j):
+            ops, i, j = "M" + ops, i - 1, j - 1
+        elif h[i][j] == e[i][j]:
+            ops, j = "I" + ops, j - 1
+        elif h[i][j] == f[i][j]:
+            ops, i = "D" + ops, i - 1
+        else:
+            break
+    span = min(at[0] - i, at[1] - j)
+    return None if span < DEFAULT.min_span else (i, at[0], j, at[1], best, span, "".join(f"{len(m[0])}{m[1]}" for m in re.finditer(r"(.)\1*", ops)))
 
 
 def test_aligner_against_cell_by_cell():
     rng = random.Random(3)
     pairs = []
-    for _ in range(40):
+    for _ in range(60):
         core = "".join(rng.choice("ACGT") for _ in range(rng.randrange(5, 60)))
-        other = "".join(c if rng.random() > 0.08 else rng.choice(["", "A", "GT", "N"]) for c in core)
+        other = "".join(c if rng.random() > 0.08 else rng.choice(["", "A", "GT", "N", "ACGTA"]) for c in core)
         pairs.append(("".join(rng.choice("ACGT") for _ in range(rng.randrange(30))) + core, other + "".join(rng.choice("ACGTN") for _ in range(rng.randrange(30)))))
-    for (r, q), hit in zip(pairs, aligner.batch(*zip(*pairs, strict=True)), strict=True):
-        best = best_score(r, q)
-        if hit is None:
-            assert best < DEFAULT.min_score or not r or not q or best < 3 * DEFAULT.min_span + 40
-        else:
-            assert hit[4] == best and hit[5] == min(hit[1] - hit[0], hit[3] - hit[2]) >= DEFAULT.min_span
+    pairs += [("ACAC" * 12, "CACA" * 12), ("", "A"), ("A" * 40, "A" * 30), ("N" * 30, "N" * 30)]
+    got = aligner.batch(*zip(*pairs, strict=True))
+    assert got == [plain_hit(r, q) if r and q else None for r, q in pairs] and sum(x is not None for x in got) > 20
+
+
+def test_aligner_of_given_vectors():
+    from junctura.queries import VECTORS
+
+    for r, q, *want in VECTORS:
+        hit = plain_hit(r, q)
+        assert want == ([None] * 6 if hit is None else [*hit[:5], hit[6]])
+
+
+def test_self_alignment_of_documents_against_cell_by_cell(spark):
+    from junctura import queries
+
+    where = "/root/testdata/sf0.001"
+    flanks = {tuple(r)[:4]: (r["rseq"], r["qseq"]) for r in queries.queries()["flank_sequences"](spark, where).collect()}
+    got = {tuple(r)[:4]: (r["score"], r["cigar"]) for r in queries.queries()["align_pairs"](spark, where).collect()}
+    assert set(got) == set(flanks)
+    for key in sorted(flanks)[:60]:
+        hit = plain_hit(*flanks[key])
+        assert got[key] == ((hit[4], hit[6]) if hit else (None, None))
+
+
+READ = dict(sample="a", qname="r1", flag=99, tid=0, chrom="c", pos=50, mapq=60, mtid=0, mpos=200, tlen=10, cigar="10M100N20M", xs="+", nh=2, yc=None, seq="ACGT" * 7 + "AC", qual=bytes(30), tags=b"XSA+NHC\x02")
 
 
 def test_bam_round_trip(spark, tmp_path):
-    row = dict(sample="a", qname="r1", flag=99, tid=0, chrom="c", pos=50, mapq=60, mtid=0, mpos=200, tlen=10, cigar="10M100N20M", xs="+", nh=2, yc=None, seq="ACGT" * 7 + "AC", qual=bytes(30), tags=b"XSA+NHC\x02")
     path = str(tmp_path / "a.bam")
-    assert bam.write_bam(path, "@HD\tVN:1.6\n", [("c", 1000)], [row, row | {"qname": "r2", "cigar": "30M", "pos": 60}]) == 2
+    assert bam.write_bam(path, "@HD\tVN:1.6\n", [("c", 1000)], [READ, READ | {"qname": "r2", "cigar": "30M", "pos": 60}]) == 2
     got = bam.read_bam(spark, [path]).orderBy("file_ord").collect()
-    assert [(r["qname"], r["chrom"], r["pos"], r["cigar"], r["xs"], r["nh"], r["sample"]) for r in got] == [("r1", "c", 50, "10M100N20M", "+", 2, "a"), ("r2", "c", 60, "30M", "+", 2, "a")]
+    assert [(r["qname"], r["chrom"], r["pos"], r["cigar"], r["xs"], r["nh"], r["sample"], r["seq"]) for r in got] == [("r1", "c", 50, "10M100N20M", "+", 2, "a", READ["seq"]), ("r2", "c", 60, "30M", "+", 2, "a", READ["seq"])]
+
+
+@pytest.fixture(scope="module")
+def large_bam(tmp_path_factory):
+    """Sorted alignments on three contigs; the second has none."""
+    path = str(tmp_path_factory.mktemp("bam") / "big.bam")
+    rng, rows = random.Random(8), []
+    for tid in (0, 2):
+        for i, pos in enumerate(sorted(rng.randrange(400_000) for _ in range(6000))):
+            rows.append(READ | dict(qname=f"q{tid}.{i}", tid=tid, mtid=tid, pos=pos, cigar=rng.choice(["30M", "10M500N20M", "5M40000N25M"]), qual=bytes(rng.randrange(40) for _ in range(30))))
+    contigs = [("x", 500_000), ("none", 10), ("y", 500_000)]
+    bam.write_bam(path, "@HD\tVN:1.6\tSO:coordinate\n", contigs, rows)
+    return path, rows, contigs
+
+
+def test_indexed_bam_is_split_and_read_by_region(spark, large_bam):
+    path, rows, contigs = large_bam
+    whole = bam.read_bam(spark, [path]).select("qname", "file_ord").collect()
+    assert [r["qname"] for r in sorted(whole, key=lambda r: r["file_ord"])] == [r["qname"] for r in rows]
+    bam.write_index(path)
+    split = bam.read_bam(spark, [path], split=50_000)
+    assert split.rdd.getNumPartitions() > 3
+    assert sorted(split.select("qname", "file_ord").collect()) == sorted(whole)
+    names = [c for c, _ in contigs]
+    for region, (c, a, z) in {"y:100001-101000": ("y", 100_000, 101_000), "x:1-5": ("x", 0, 5), "none:1-9": ("none", 0, 9), "y:399000-500000": ("y", 398_999, 500_000)}.items():
+        want = sorted(r["qname"] for r in rows if names[r["tid"]] == c and r["pos"] < z and r["pos"] + bam.span(r["cigar"]) > a)
+        assert sorted(r["qname"] for r in bam.read_bam(spark, [path], region).select("qname").collect()) == want
+    assert bam.read_bam(spark, [path], "nonsense").count() == 0
+    reader = bam.BamReader({"paths": path, "region": "y:100001-101000"})
+    part = reader.partitions()[0]
+    assert part.begin > 0 and sum(1 for _ in bam.records(path, "s", part.begin, part.end, part.region)) < 2000
+    rest = bam.read_bam(spark, [path]).where("chrom = 'y' and pos < 1000")
+    assert sorted(r["qname"] for r in rest.collect()) == sorted(r["qname"] for r in rows if r["tid"] == 2 and r["pos"] < 1000)
+
+
+def test_cut_off_bam_is_an_error(spark, large_bam, tmp_path):
+    data = open(large_bam[0], "rb").read()
+    at = data.index(b"\x1f\x8b\x08\x04", len(data) // 2)  # at a block's border, and within one
+    for n in (at, at + 100):
+        (tmp_path / "cut.bam").write_bytes(data[:n])
+        with pytest.raises(Exception, match="cut off"):
+            bam.read_bam(spark, [str(tmp_path / "cut.bam")]).count()
+
+
+def test_save_bam_from_many_tasks(spark, large_bam, tmp_path):
+    path, rows, contigs = large_bam
+    out = str(tmp_path / "out.bam")
+    kept = bam.read_bam(spark, [path]).where("pos % 3 > 0").repartition(7)
+    for _ in range(2):  # the second replaces the first
+        bam.save_bam(kept, out, "@HD\tVN:1.6\tSO:coordinate\n", contigs)
+    with open(out, "rb") as f:
+        assert bam.header(bam.Stream(f)) == ("@HD\tVN:1.6\tSO:coordinate\n", contigs)
+    assert [r[2] for r in bam.records(out, "s")] == [r["qname"] for r in rows if r["pos"] % 3 > 0]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["out.bam"]
+
+
+def test_merge_of_sorted_files(spark, large_bam, tmp_path):
+    from junctura.operators import junctions as J
+
+    path, rows, contigs = large_bam
+    got = J.merge_files(spark, [path, path]).select("tid", "pos", "file_idx").collect()
+    assert [tuple(r) for r in got] == sorted((r["tid"], r["pos"], i) for r in rows for i in (0, 1))
+    bam.write_bam(str(tmp_path / "u.bam"), "@HD\tSO:unsorted\n", contigs, rows[:1])
+    with pytest.raises(ValueError, match="not sorted"):
+        J.merge_files(spark, [str(tmp_path / "u.bam")])
+
+
+def test_sam_is_read_as_bam_is(spark, large_bam, tmp_path):
+    path, rows, contigs = large_bam
+    head = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in contigs)
+    lines = ["\t".join(map(str, (r["qname"], r["flag"], contigs[r["tid"]][0], r["pos"] + 1, r["mapq"], r["cigar"], "=", r["mpos"] + 1, r["tlen"], r["seq"], "".join(chr(33 + x) for x in r["qual"]), "XS:A:+", "NH:i:2"))) for r in rows[:500]]
+    (tmp_path / "big.sam").write_text(head + "\n".join(lines) + "\n")
+    got = text.read_sam(spark, [str(tmp_path / "big.sam")]).orderBy("file_ord").collect()
+    want = bam.read_bam(spark, [path]).orderBy("file_ord").limit(500).collect()
+    for a, b in zip(got, want, strict=True):
+        x, y = a.asDict(), b.asDict()
+        assert {k: x[k] for k in y if k not in ("file_ord", "tags")} == {k: y[k] for k in y if k not in ("file_ord", "tags")}
+        assert [v for *_, v in bam.tag_items(bytes(x["tags"]))] == ["+", 2]
+
+
+def test_fasta_over_blocks(spark):
+    rng = random.Random(4)
+    genome = {f"c{i}": "".join(rng.choice("acgtACGTN") for _ in range(n)) for i, n in enumerate((300, 1, 0, 5000))}
+    lines = [x for c, s in genome.items() for x in (f">{c} words", *[s[i : i + 37] for i in range(0, len(s), 37)], "")]
+    rows = [("f", 100 * (i // 23), i % 23, x) for i, x in enumerate(lines)]  # blocks of 23 lines
+    parts = text.parse_fasta(spark.createDataFrame(rows, "path string, block long, line long, value string").repartition(5))
+    got = {}
+    for r in sorted(parts.collect(), key=lambda r: (r["chrom"], r["at"])):
+        assert r["at"] == len(got.get(r["chrom"], ""))
+        got[r["chrom"]] = got.get(r["chrom"], "") + r["part"]
+    assert got == {c: s.upper() for c, s in genome.items() if s}
+
+
+def test_file_order_over_splits(spark, tmp_path):
+    path = write(tmp_path / "long.txt", "".join(f"{i}\n" for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        lines = text.file_order(text.read_lines(spark, [path]))
+        assert lines.select("block").distinct().count() > 5
+        assert [r["value"] for r in lines.orderBy("at").collect()] == [str(i) for i in range(20_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def plain_places(probe, genome, most):
+    flip = str.maketrans("ACGT", "TGCA")
+    n = len(probe)
+    both = (probe, probe[::-1].translate(flip))
+    return min(11, sum("N" not in s[i : i + n] and sum(x != y for x, y in zip(q, s[i : i + n], strict=True)) <= most for q in both for s in genome.values() for i in range(len(s) - n + 1)))
+
+
+def tile_rows(genome):
+    return [(c, t, s[t * 1000 : t * 1000 + 1200]) for c, s in genome.items() for t in range(-(-len(s) // 1000))]
+
+
+def test_probes_of_all_lengths_against_brute_force(spark):
+    from junctura.operators import spurious
+
+    rng = random.Random(16)
+    genome = {c: "".join(rng.choice("ACGT") for _ in range(1300)) for c in "ab"}
+    genome["c"] = "A" * 300 + "N" + genome["a"][:200] + "ACGTTGCATGCAACGT"
+    probes = ["A" * 30, "A" * 17, genome["c"][-15:], "ACGTTGCATGCAACGT", genome["b"][-16:]]
+    for n in range(15, 30):
+        seq = list(genome["ab"[n % 2]][40 * n : 40 * n + n])
+        for at in rng.sample(range(n), rng.randrange(3)):
+            seq[at] = rng.choice("ACGT")
+        probes.append("".join(seq))
+    made = spark.createDataFrame([("a", i, i + 1, "+", "seq1", p) for i, p in enumerate(probes)] + [("a", 99, 100, "+", "seq1", "ACGTN" * 4)], "chrom string, start long, end long, strand string, type string, seq string")
+    tiles = spark.createDataFrame(tile_rows(genome), "chrom string, tile long, seq string")
+    got = {r["start"]: r["hits"] for r in spurious.match_counts(made, tiles).collect()}
+    assert got == {i: plain_places(p, genome, spurious.allowed(len(p))) for i, p in enumerate(probes)} | {99: 0}
+
+
+def test_detection_end_to_end_against_plain_rules(spark):
+    """Flanks, self-alignment, scores, probes, counts and rules of whole junctions, against a sequential model of the rules."""
+    from junctura.operators import spurious
+    from junctura.plans import engine
+
+    p, rng = DEFAULT, random.Random(21)
+    base = "".join(rng.choice("ACGT") for _ in range(9000))
+    genome, found = {"g": list(base)}, []
+    for i in range(36):
+        start = 120 + 230 * i
+        end = start + rng.randrange(20, 200)
+        if i % 4:  # the flanks resemble each other, more or less
+            shift, n = rng.choice([0, 0, 3, 30]), rng.randrange(20, 100)
+            for k in range(n):
+                if rng.random() > 0.05 * (i % 3):
+                    genome["g"][min(8999, end - 50 + k)] = genome["g"][start - 50 + (k + shift) % 100]
+        found.append(("g", start, end, "+-."[i % 3], 1 + i % 5))
+    genome = {"g": "".join(genome["g"]), "h": "".join(genome["g"][1000:4000]).lower()}
+    found += [("unknown", 5, 50, "+", 9), ("g", 3, 8990, "+", 9)]
+    genome["h"] = genome["h"].upper()
+    junctions = spark.createDataFrame(found, "chrom string, start long, end long, strand string, total_score long")
+    tiles = spark.createDataFrame(tile_rows(genome), "chrom string, tile long, seq string")
+    sizes = spark.createDataFrame([(c, len(s)) for c, s in genome.items()], "chrom string, length long")
+    trusted = junctions.limit(0).unionByName(junctions.where("start = 120 + 230 * 5"))
+    want = {}
+    for chrom, start, end, strand, total in found:
+        if chrom not in genome or (chrom, start) == ("g", 120 + 230 * 5):
+            continue
+        seq, o, L = genome[chrom], p.overhang, end - start
+        r, q = seq[max(start - o, 0) : start + o], seq[max(end - o, 0) : end + o]
+        hit = plain_hit(r, q)
+        if hit is None:
+            continue
+        r_st, r_en, q_st, q_en, score, _, _ = hit
+        if 2 * o >= L and (r_st == L or (r_st - q_st == L if o > L else r_st >= o and q_en <= o)):
+            continue
+        if total <= p.min_junc_score:
+            want[chrom, start, end, strand] = (score, 0, 0, 0, "low score")
+            continue
+        mid = lambda s: s if len(s) <= 30 else s[(len(s) - 30) // 2 :][:30]
+        probes = [mid(r[r_st:r_en]), mid(q[q_st:q_en]), r[o - 15 : o] + q[o : o + 15] if len(r) >= o and len(q) >= o + 15 else ""]
+        c1, c2, ch = (plain_places(x, genome, spurious.allowed(len(x))) if x else 0 for x in probes)
+        a = p.anchor
+        far = len(r) >= o + a and len(q) >= o + a and sum(x != y for x, y in zip(r[o - a : o + a], q[o - a : o + a], strict=True)) > 2
+        if r_en >= o + a - 1 and r_st <= o - a and q_en >= o + a - 1 and q_st <= o - a and abs(r_st - q_st) <= 2 * a:
+            bad = not ((c1 == 1 or c2 == 1) and ch == 0)
+        else:
+            bad = not ((q_st - r_st >= p.min_duplicate_exon_length and ch == 0) or ((c1 < 10 or c2 < 10) and (ch == 0 or far)))
+        if bad:
+            want[chrom, start, end, strand] = (score, c1, c2, ch, "repeat")
+    rows = engine.detect(junctions, tiles, sizes, trusted).collect()
+    got = {(r["chrom"], r["start"], r["end"], r["strand"]): (r["align_score"], r["seq1_count"], r["seq2_count"], r["seqh_count"], r["reason"]) for r in rows}
+    assert got == want and {x[-1] for x in want.values()} == {"low score", "repeat"}
+
+
+def test_command_line(spark, tmp_path, capsys, large_bam):
+    from junctura import cli
+
+    rng = random.Random(31)
+    seq = "".join(rng.choice("ACGT") for _ in range(3000))
+    seq = seq[:1500] + seq[450:550] + seq[1600:]  # the flanks of [500, 1550) are alike
+    fasta = write(tmp_path / "g.fa", ">x a contig\n" + "\n".join(seq[i : i + 60] for i in range(0, 3000, 60)) + "\n>y\n" + seq[::-1] + "\n")
+    bed = write(tmp_path / "j.bed", "x\t500\t1550\tj\t3\t+\nx\t700\t900\tj\t5\t-\n")
+    kept, removed = tmp_path / "kept.bed", tmp_path / "removed.bed"
+    assert cli.main(["--bed", bed, "-r", fasta, "--out_kept_junctions", str(kept), "--out_removed_junctions", str(removed), "-k", "3", "-w", "2"]) == 0
+    lines = (kept.read_text() + removed.read_text()).splitlines()
+    assert sorted(x.split("\t")[1] for x in lines) == ["500", "700"] and all(x.split("\t")[3] == "JUNC1" for x in lines if len(lines) == 2)
+    sam = ["@HD\tVN:1.6\tSO:coordinate", "@SQ\tSN:x\tLN:3000", "@SQ\tSN:y\tLN:3000"]
+    sam += [f"r{i}\t0\tx\t{491}\t60\t10M1050N20M\t*\t0\t0\t{'A' * 30}\t{'I' * 30}\tXS:A:+\tNH:i:1" for i in range(2)] + [f"s\t0\tx\t691\t60\t10M200N20M\t*\t0\t0\t{'A' * 30}\t*\tXS:A:-"]
+    path = write(tmp_path / "reads.sam", "\n".join(sam) + "\n")
+    out = tmp_path / "filtered.bam"
+    assert cli.main(["--bam", path, "-r", fasta, "-i", str(tmp_path / "g_tiles"), "--out_removed_junctions", str(removed), "--out_original_junctions", str(kept), "--out_filtered_bam", str(out), "--removed_alignments_bam"]) == 0
+    assert [x.split("\t")[1:3] for x in kept.read_text().splitlines()] == [["500", "1550"], ["700", "900"]]
+    gone = {x.split("\t")[1] for x in removed.read_text().splitlines()}
+    left = [r[2] for r in bam.records(str(out), "s")]
+    other = [r[2] for r in bam.records(str(tmp_path / "filtered_removed_alignments.bam"), "s")]
+    assert left == (["r0", "r1"] if "500" not in gone else []) + (["s"] if "700" not in gone else []) and sorted(left + other) == ["r0", "r1", "s"]
+    (tmp_path / "a.cram").write_bytes(b"CRAM\x03")
+    assert cli.main(["--bam", str(tmp_path / "a.cram"), "-r", fasta]) == 1 and "CRAM" in capsys.readouterr().err
+    assert cli.main(["--bed", str(tmp_path / "none.bed"), "-r", fasta]) == 1 and "error: " in capsys.readouterr().err
+    assert cli.main(["--bed", write(tmp_path / "bad.bed", "x\t5\t4\tj\t1\t+\n"), "-r", fasta]) == 1 and "start beyond end" in capsys.readouterr().err
+
+
+def test_one_builder_of_a_genome_waits_for_the_other(spark, tmp_path):
+    from junctura.plans import engine
+
+    fasta = write(tmp_path / "g.fa", ">x\nACGT\n")
+    (tmp_path / "t.lock").write_text("")
+    with pytest.raises(OSError, match="built by another run"):
+        engine.build_genome(spark, fasta, str(tmp_path / "t"), patience=0)
+    (tmp_path / "t.lock").unlink()
+    assert [tuple(r) for r in engine.build_genome(spark, fasta, str(tmp_path / "t"))[1].collect()] == [("x", 4)]
+    assert not (tmp_path / "t.lock").exists()
 
 
 def test_match_counts_at_three_mismatches_against_brute_force(spark):
