@@ -33,6 +33,7 @@ class Params:
     probe_half: int = 15
     anchor_mismatches: int = 2
     mismatches: int = 3
+    seed_salts: int = 8
     tile: int = 1000
     tile_overlap: int = 200
     scan_tile: int = 10_000_000
