@@ -4,7 +4,6 @@ The views: alignments, pairs of alignments and exons from lineitem, contigs and
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from .functions.aligner import align
 from .operators import filtering, junctions as J, output, spurious as S
 from .params import KEYS
 from .plans import engine
+from .shared import cut, fresh_path
 from .sources import text
 from .streaming import junction_stream as stream
 
@@ -31,6 +31,7 @@ PAIR = f"""select 's' as sample, {_ORD} + s - 1 as file_ord, concat('r', l_order
  cast(3 + l_suppkey % 4 as int) as nh, cast(300 as bigint) as tlen, '.' as xs from lineitem, (select 1 as s union all select 2 as s) t"""
 EXON = f"""select concat('chr', l_linenumber % 3) as chrom, (l_partkey % 500) * 10 as start, (l_partkey % 500) * 10 + 30 + l_suppkey % 40 as "end", case when l_suppkey % 2 = 0 then '+' else '-' end as strand,
  concat('g', l_suppkey % 10) as gene_id, concat('t', l_orderkey) as transcript_id, {_ORD} as o from lineitem"""
+CLEAN = """select concat('d', doc_id) as chrom, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', ''{g}) as seq from documents"""
 CONTIG = """select concat('d', doc_id) as chrom, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N'{g}) as seq from documents"""
 DOCJ = """select chrom, n {div} 3 as start, n {div} 3 + 20 + n % 400 as "end", case when n % 3 = 0 then '+' when n % 3 = 1 then '-' else '.' end as strand, cast(n % 4 as bigint) as total_score, n from (select chrom, length(seq) as n from contigs) t where n > 40"""
 HITS = """select concat('c', l_orderkey) as chrom, file_ord as start, file_ord + 30 + l_partkey % 160 as "end", '+' as strand, cast(l_partkey % 70 as int) as r_st, cast(l_partkey % 70 + 15 + l_suppkey % 60 as int) as r_en,
@@ -60,13 +61,18 @@ def contigs(spark, sf_dir):
     return _sql(spark, sf_dir, CONTIG.replace("{g}", ""))
 
 
-def genome(spark, sf_dir):
-    parts = contigs(spark, sf_dir).select("chrom", F.lit(0).cast("long").alias("at"), F.col("seq").alias("part"))
+def clean_contigs(spark, sf_dir):
+    """Contigs without unknown characters."""
+    return _sql(spark, sf_dir, CLEAN.replace("{g}", ""))
+
+
+def genome(spark, sf_dir, of=contigs):
+    parts = of(spark, sf_dir).select("chrom", F.lit(0).cast("long").alias("at"), F.col("seq").alias("part"))
     return text.tiles(parts), text.chrom_sizes(parts)
 
 
-def doc_junctions(spark, sf_dir):
-    return spark.sql(DOCJ.replace('"end"', "end").replace("{div}", "div").replace("from contigs", "from {contigs}"), contigs=contigs(spark, sf_dir)).drop("n")
+def doc_junctions(spark, sf_dir, of=contigs):
+    return spark.sql(DOCJ.replace('"end"', "end").replace("{div}", "div").replace("from contigs", "from {contigs}"), contigs=of(spark, sf_dir)).drop("n")
 
 
 def exons(spark, sf_dir):
@@ -193,6 +199,32 @@ def junction_counts_yc(spark, sf_dir):
     return J.counts(alignments(spark, sf_dir), "yc")
 
 
+@query(f"""{_J}, py as (select chrom, start, "end", strand, sample, sum(greatest(yc, 1)) as score from ev group by all)
+select chrom, start, "end", strand, cast(sum(score) as bigint) as total_score, string_agg(concat(sample, ',', score), ';' order by sample) as samples from py group by chrom, start, "end", strand""")
+def junction_samples_yc(spark, sf_dir):
+    return J.merged(J.counts(alignments(spark, sf_dir), "yc")).withColumn("samples", _joined())
+
+
+@query(f"{_J} select sample, file_ord, chrom, start, \"end\", strand from ev where chrom <> 'chr3'")
+def named_contigs(spark, sf_dir):
+    """Alignments without a contig have no junctions."""
+    rows = alignments(spark, sf_dir).withColumn("chrom", F.nullif(F.col("chrom"), F.lit("chr3")))
+    return J.events(rows).select("sample", "file_ord", *KEYS)
+
+
+@query(f"{_BED} select distinct chrom, start, \"end\", strand from bed")
+def trusted_keys(spark, sf_dir):
+    return text.key_set(text.parse_bed(bed_lines(spark, sf_dir)))
+
+
+@query(f"with {_ALN} select qname as chrom, pos as start, pos + 30 as \"end\", case when yc = 0 then '+' else '-' end as strand, concat('seq', yc % 2 + 1) as type, count(*) as hits from aln where flag & 4 = 0 group by all")
+def external_probe_hits(spark, sf_dir):
+    """SAM lines of an external aligner over named probes."""
+    name = F.concat_ws(",", "qname", F.col("pos").cast("string"), (F.col("pos") + 30).cast("string"), F.when(F.col("yc") == 0, "+").otherwise("-"), F.concat(F.lit("seq"), (F.col("yc") % 2 + 1).cast("string")))
+    lines = alignments(spark, sf_dir).select(F.concat_ws("\t", name, F.col("flag").cast("string"), "chrom", F.lit("1"), F.lit("9"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*")).alias("value"))
+    return text.probe_hits(lines)
+
+
 def _joined(samples: str = "samples"):
     return F.array_join(F.transform(samples, lambda s: F.concat(s["sample"], F.lit(","), s["score"].cast("string"))), ";")
 
@@ -267,7 +299,7 @@ def completed_junctions(spark, sf_dir):
 def completed_junctions_stream(spark, sf_dir):
     from pyspark.errors import AnalysisException
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp").rstrip("/") + f"/junctura-stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     lines = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema).parquet(f"{sf_dir}/lineitem.parquet*")
     rows = spark.sql(ALN.replace("from lineitem", "from {lineitem}"), lineitem=lines).withColumn("source", F.col("sample"))
     run = stream.completed(rows, 2).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
@@ -281,7 +313,7 @@ def completed_junctions_stream(spark, sf_dir):
 @query(f"{_J} select chrom, start, \"end\", strand, total_score from junc")
 def all_junctions_stream(spark, sf_dir):
     """What completes, by position or by later contigs, and what the end of the streams leaves."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp").rstrip("/") + f"/junctura-stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     lines = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema).parquet(f"{sf_dir}/lineitem.parquet*")
     rows = spark.sql(ALN.replace("from lineitem", "from {lineitem}"), lineitem=lines).withColumn("source", F.col("sample"))
     contigs = [r.chrom for r in alignments(spark, sf_dir).select("tid", "chrom").distinct().orderBy("tid").collect()]
@@ -289,6 +321,27 @@ def all_junctions_stream(spark, sf_dir):
     return spark.read.schema(stream.OUT).parquet(f"{base}/out").unionByName(stream.flush(spark, f"{base}/check")).select(*KEYS, "total_score")
 
 
+@query(f"{_J} select chrom, start, \"end\", strand, total_score from junc")
+def junctions_over_batches(spark, sf_dir):
+    """The same over several micro-batches of sorted files: a source that has no alignments on a contig, contigs that later ones close, and a flush."""
+    base = fresh_path(spark, "stream")
+    rows = cut(alignments(spark, sf_dir).withColumn("source", F.col("sample")), "sorted")
+    for low, high in ((0, 2), (2, 3), (3, 5), (5, 99)):
+        rows.where((F.col("tid") > low) & (F.col("tid") <= high)).coalesce(1).sortWithinPartitions("tid", "pos").write.mode("append").parquet(f"{base}/in")
+    contigs = [r.chrom for r in rows.select("tid", "chrom").distinct().orderBy("tid").collect()]
+    arriving = stream.read_alignments_stream(spark, f"{base}/in", rows.schema)
+    stream.completed(arriving, 2, contigs).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.OUT).parquet(f"{base}/out").unionByName(stream.flush(spark, f"{base}/check")).select(*KEYS, "total_score")
+
+
+@query(f"{_J} select count(*) as junctions, cast(sum(total_score) as bigint) as alignments from junc")
+def observed_totals(spark, sf_dir):
+    """Totals that are observed while the junctions pass."""
+    rows, totals = stream.observed(_junctions(spark, sf_dir))
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(totals.get["junctions"], totals.get["alignments"])], "junctions long, alignments long")
+
+
 # Flanks, probes, rules.
 _DOCJ = f"with {_CONTIG}, dj as ({DOCJ.replace('{div}', '//')})"
 _FLANK = """fl as (select *, greatest(start - 49, 1) as rstart, least(start + 50, n) as rend, greatest("end" - 49, 1) as qstart, least("end" + 50, n) as qend from dj where greatest(start - 49, 1) <= n and greatest("end" - 49, 1) <= n),
@@ -360,9 +413,19 @@ def probe_exact_counts(spark, sf_dir):
     return S.match_counts(_doc_probes(spark, sf_dir), genome(spark, sf_dir)[0], mismatches=0).select("chrom", "hits")
 
 
-@query()
+@query(f"""with contigs as ({CLEAN.replace("{g}", ", 'g'")}), pr as (select chrom, cast(s as bigint) as start, substr(seq, cast(s + 1 as bigint), 30) as p from (select *, unnest(range(100, length(seq) - 29, 500)) as s from contigs)),
+u as (select distinct p from pr), strands as (select p, p as s from u union all select p, reverse(translate(p, 'ACGT', 'TGCA')) from u),
+w as (select row_number() over () as id, substr(seq, cast(i + 1 as bigint), 30) as w from (select seq, unnest(range(length(seq) - 29)) as i from contigs where length(seq) >= 30)),
+ks as (select p, s, cast(b as bigint) as b, substr(s, cast(7 * b + 1 as bigint), 7) as k from strands, unnest(range(4)) as t(b)),
+kw as (select id, w, cast(b as bigint) as b, substr(w, cast(7 * b + 1 as bigint), 7) as k from w, unnest(range(4)) as t(b)),
+near as (select distinct ks.p, ks.s = ks.p as forward, id from ks join kw using (b, k) where hamming(ks.s, kw.w) <= 3),
+twice as (select p, count(*) * (case when p = reverse(translate(p, 'ACGT', 'TGCA')) then 2 else 1 end) as n from near group by p)
+select chrom, start, cast(least(n, 11) as bigint) as hits from pr join twice using (p)""")
 def probe_mismatch_counts(spark, sf_dir):
-    return S.match_counts(_doc_probes(spark, sf_dir), genome(spark, sf_dir)[0]).select("chrom", "hits")
+    """Probes every 500 characters of contigs without N, with the default differences."""
+    rows = clean_contigs(spark, sf_dir).where(F.length("seq") >= 130).withColumn("start", F.explode(F.sequence(F.lit(100), F.length("seq") - 30, F.lit(500))))
+    made = rows.select("chrom", F.col("start").cast("long").alias("start"), (F.col("start") + 30).cast("long").alias("end"), F.lit("+").alias("strand"), F.lit("seqh").alias("type"), F.substring("seq", F.col("start") + 1, F.lit(30)).alias("seq"))
+    return S.match_counts(made, genome(spark, sf_dir, clean_contigs)[0]).select("chrom", "start", "hits")
 
 
 @query(f"""{_H} select chrom, start, case when {_TWO} then not ((c1 = 1 or c2 = 1) and ch = 0) when q_st - r_st >= 27 and ch = 0 then false when (c1 < 10 or c2 < 10) and ch = 0 then false
@@ -371,6 +434,68 @@ def classify_rules(spark, sf_dir):
     return hits(spark, sf_dir).select("chrom", "start", S.verdict().alias("spurious"))
 
 
+#: Pairs of sequences, and what the rules of the aligner give for them, cell by cell (tests hold these values to an implementation of their own).
+VECTORS = [
+    ("ACGTACGTTGCAACGTTAGC", "ACGTACGTTGCAACGTTAGC", 0, 20, 0, 20, 60, "20M"),
+    ("TTTTTACGTACGTTGCAACGTTAGC", "ACGTACGTTGCAACGTTAGCAAAA", 5, 25, 0, 20, 60, "20M"),
+    ("ACGTACGTTGCAACGTTAGC", "acgtacgttgcaacgttagc".upper()[:9] + "T" + "ACGTACGTTGCAACGTTAGC"[10:], 0, 20, 0, 20, 53, "20M"),
+    ("GATTACAGATTACACCTGAAGGCTTAGCAT", "GATTACAGATTACACCTGACCGAAGGCTTAGCAT", 0, 30, 0, 34, 70, "17M4I13M"),
+    ("ACGTACGTTG", "ACGTACGTTG", None, None, None, None, None, None),
+    ("ACGTNCGTTGCAACGTTAGC", "ACGTNCGTTGCAACGTTAGC", 0, 20, 0, 20, 56, "20M"),
+    ("CCCCCCCCCCCCCCCC", "GGGGGGGGGGGGGGGG", None, None, None, None, None, None),
+]
+
+
+def _vectors_sql() -> str:
+    rows = [f"({i}, {', '.join('null' if x is None else repr(x) for x in v[2:])})" for i, v in enumerate(VECTORS)]
+    return f"select id, cast(r_st as int) as r_st, cast(r_en as int) as r_en, cast(q_st as int) as q_st, cast(q_en as int) as q_en, cast(score as int) as score, cigar from (values {', '.join(rows)}) as t(id, r_st, r_en, q_st, q_en, score, cigar)"
+
+
+@query(_vectors_sql())
+def align_vectors(spark, sf_dir):
+    rows = spark.createDataFrame([(i, v[0], v[1]) for i, v in enumerate(VECTORS)], "id int, rseq string, qseq string")
+    return rows.select("id", align(F.col("rseq"), F.col("qseq")).alias("h")).select("id", "h.r_st", "h.r_en", "h.q_st", "h.q_en", "h.score", "h.cigar")
+
+
+_CIG = "concat(10 + c1, 'M', 1 + ch * 20, case when c2 % 2 = 0 then 'I' else 'D' end, 5 + c2, 'M')"
+_SAME = "list_sum(list_transform(range({n}), lambda x: case when substr(rseq, cast({a} + x + 1 as bigint), 1) = substr(qseq, cast({b} + x + 1 as bigint), 1) then 3 else -4 end))"
+
+
+@query(f"""{_H}, g as (select *, 1 + ch * 20 as n, {_CIG} as cigar from h where length(rseq) = 100)
+select chrom, start, cigar, cast({_SAME.format(n="10 + c1", a="0", b="0")} + {_SAME.format(n="5 + c2", a="10 + c1 + case when c2 % 2 = 0 then 0 else n end", b="10 + c1 + case when c2 % 2 = 0 then n else 0 end")} - least(12 + 2 * n, 32 + n) as int) as score from g""")
+def cigar_rescore(spark, sf_dir):
+    from .params import DEFAULT
+
+    rows = _sql(spark, sf_dir, HITS).where("length(rseq) = 100").withColumn("cigar", F.expr(_CIG))
+    return rows.select("chrom", "start", "cigar", C.rescored(F.col("cigar"), F.col("rseq"), F.col("qseq"), F.lit(0), F.lit(0), DEFAULT.scoring).alias("score"))
+
+
+@query(f"""{_H}, a as (select *, l_orderkey % 4 as total from (select h.*, cast(substr(chrom, 2) as bigint) as l_orderkey from h) t)
+select chrom, start, "end", case when total <= 1 then 0 else c1 end as seq1_count, case when total <= 1 then 0 else c2 end as seq2_count, case when total <= 1 then 0 else ch end as seqh_count, cast(r_en as int) as align_score, case when total <= 1 then 'low score' else 'repeat' end as reason from a
+where total <= 1 or case when {_TWO} then not ((c1 = 1 or c2 = 1) and ch = 0) when q_st - r_st >= 27 and ch = 0 then false when (c1 < 10 or c2 < 10) and ch = 0 then false when (c1 < 10 or c2 < 10) and coalesce({_DIST} > 2, false) then false else true end""")
+def detection_branches(spark, sf_dir):
+    """Low scores, counts that come back to their junctions by key and type, the rules, and the union."""
+    rows = hits(spark, sf_dir).withColumn("total_score", F.substring("chrom", 2, 30).cast("long") % 4).withColumn("hit", F.col("hit").withField("score", F.col("hit.r_en")))
+    names = ("seq1", "seq2", "seqh")
+    scarce, rest = engine.by_score(rows.drop(*[f"{t}_count" for t in names]), True)
+    found = rows.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.col(f"{t}_count").cast("long").alias("hits")) for t in names])).alias("p")).select(*KEYS, "p.*").where("hits > 0")
+    got = engine.spurious(scarce, S.with_counts(rest, found))
+    return got.select("chrom", "start", "end", *[F.col(f"{t}_count").cast("long").alias(f"{t}_count") for t in names], "align_score", "reason")
+
+
+@query(f"{_DOCJ}, {_FLANK}, reg as (select distinct chrom, cast(s as bigint) as start, cast(e as bigint) as \"end\" from (select chrom, rstart as s, rend as e from fl union all select chrom, qstart, qend from fl)) select row_number() over (order by chrom, start, \"end\") as rank, chrom, start, \"end\" from reg")
+def region_order(spark, sf_dir):
+    got = S.regions_to_fetch(S.flank_regions(doc_junctions(spark, sf_dir), genome(spark, sf_dir)[1]))
+    return got.select(F.col("rank").cast("long").alias("rank"), "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query(ORACLE["flank_sequences"])
+def flank_sequences_lower(spark, sf_dir):
+    """A genome in lower case gives upper-case flanks."""
+    tiles, sizes = genome(spark, sf_dir)
+    return S.flank_sequences(doc_junctions(spark, sf_dir), tiles.withColumn("seq", F.lower("seq")), sizes).select(*KEYS, "rseq", "qseq")
+
+
 @query()
 def self_align(spark, sf_dir):
     rows = S.flank_sequences(doc_junctions(spark, sf_dir), *genome(spark, sf_dir))
@@ -385,8 +510,9 @@ def align_pairs(spark, sf_dir):
 
 @query()
 def spurious_end_to_end(spark, sf_dir):
-    tiles, sizes = genome(spark, sf_dir)
-    got = engine.detect(doc_junctions(spark, sf_dir), engine.settle(tiles), engine.settle(sizes))
+    """Detection with default parameters over contigs without N."""
+    tiles, sizes = genome(spark, sf_dir, clean_contigs)
+    got = engine.detect(doc_junctions(spark, sf_dir, clean_contigs), engine.settle(tiles), engine.settle(sizes))
     return got.select(*KEYS, "total_score", "align_score", "seq1_count", "seq2_count", "seqh_count", "reason")
 
 
@@ -419,6 +545,14 @@ def by_sample_export(spark, sf_dir):
     return got.select("sample", F.col("rank").cast("long").alias("rank"), "value")
 
 
+@query(ORACLE["by_sample_export"].replace("select sample, rank,", "select sample,"))
+def sample_files(spark, sf_dir):
+    """The per-sample files, written and read back."""
+    path = fresh_path(spark, "samples")
+    output.write_by_sample(output.by_sample(_junctions(spark, sf_dir)), path)
+    return spark.read.schema("value string, sample string").text(path).select("sample", "value")
+
+
 @query(f"{_J}, {_NAMED} select rank, concat(chrom, chr(9), start, chr(9), \"end\", chr(9), 'JUNC', lpad(cast(rank as varchar), 8, '0'), chr(9), total_score, chr(9), strand) as value from named")
 def bed6_export(spark, sf_dir):
     return text_rows(output.bed6(_junctions(spark, sf_dir), 8))
