@@ -1,10 +1,8 @@
-"""What the operators of this subpackage share: tables cut in the shared folder, words, batches, token caches."""
+"""What the operators of this subpackage share: joins with hot keys, words, batches, token ids."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,31 +10,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import cut, discard, fresh_path, shared_dir
+
 #: A word: a run of anything but the six ASCII white-space characters (what bytes.split() splits at).
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir. Only where it is unset (local tests) one is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="junctura-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/junctura-{name}-{uuid.uuid4().hex}"
+#: Rows of one key that a join leaves together; keys above it are HOT at most.
+TOGETHER, HOT = 2_000, 10_000
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends here, lost executors lose nothing, sizes are known to the planner."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def spread_join(many: DataFrame, one: DataFrame, key: str, n: str, rows: int) -> DataFrame:
+    """Inner join on key of many rows with the key's row (or few rows) of `one`, whose column n counts the key's rows in many, `rows` in all. Rows of keys above a block of TOGETHER (or rows / HOT, so that the broadcast list of such keys has HOT entries at most) are dealt over ceil(n / block) parts, and the key's row of `one` goes to each."""
+    block = max(TOGETHER, -(-rows // HOT))
+    parts = F.ceil(F.col(n) / block)
+    hot = one.where(F.col(n) > block).select(F.col(key).alias("_hot"), parts.alias("_parts")).distinct()
+    salt = F.pmod(F.xxhash64(*many.columns), F.coalesce("_parts", F.lit(1)))
+    dealt = many.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_salt", salt).drop("_hot", "_parts")
+    each = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(each, [key, "_salt"]).drop("_salt")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +99,7 @@ class Cache(dict):
 
 #: White space outside ASCII's six characters, as either library may see it.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ODD_RE2 = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Characters beyond the first blocks (and one whose lower case is two): their chunks go to the library whole.
 FAR = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Chunks that byte-level pre-tokenisation never crosses, for texts without ODD_SPACE.
@@ -128,58 +122,186 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Token ids of whole texts as the tokenizers library gives them (add_special_tokens=False), as little-endian bytes of `width` each.
+    """Token ids of whole texts as the tokenizers library gives them (add_special_tokens=False).
+
+    Texts are taken in slices of about SLICE bytes. A slice's texts are split where pre-tokenisation always cuts, its distinct words
+    are looked up once, and its ids are gathered by one take. Words that are not known are laid end to end and merged in one call by tiktoken, whose
+    ranks are made from the vocabulary file's own merges; where each word's ids begin shows in the ids. Words are remembered in two generations of
+    at most `most` short keys each, so a worker holds some tens of MB whatever it reads. Texts with white space outside ASCII or strings
+    of special tokens, words beyond the first Unicode blocks, and vocabularies with other rules than plain merges go to the library. kind: "byte"
+    (byte-level BPE, a space joins the word after it) or "word" (lower case, white space is dropped, the last symbol of a piece carries "</w>").
+
+    Keys of words: as they are after a space; after "\n" or "\r" (a line's or a text's first); after "\t" other white space; after "\v" a whole text."""
 
-    A text is cut into chunks where pre-tokenisation always cuts, chunks into pieces by the vocabulary's own pattern, and the
-    library's model encodes each distinct piece; chunks and pieces are remembered per task in bounded caches. Texts with white space outside ASCII
-    and chunks beyond the first Unicode blocks go to the library whole. kind: "byte" (byte-level BPE, a space joins the word
-    after it) or "word" (lower case, white space is dropped)."""
+    SLICE = 2 << 20
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
+    def __init__(self, path: str, kind: str, most: int = 100_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
-        import regex
         from tokenizers import Tokenizer
 
         self.np, self.tok, self.kind = np, Tokenizer.from_file(path), kind
-        self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.type = f"<u{self.width}"
-        self.pattern, self.letters = regex.compile(BYTE_PIECE if kind == "byte" else WORD_PIECE), byte_letters()
-        self.cache, self.pieces = Cache(self.chunk, most), Cache(self.piece, most)
-        self.words = Cache(self.spaced, most)
+        self.type, self.most, self.new, self.old = f"<u{self.width}", most, {}, {}
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values()] if self.tok.normalizer is None else ["<|"]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.apart = ODD_RE2 + r"|\x00" if kind == "word" else "|".join([r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\r\x0b\x0c]", ODD_RE2, *map(re.escape, special)])
+        self.merger = self._merger()
+
+    def _merger(self):
+        """tiktoken's merges over the vocabulary's; None if its rules are not plain merges. Sets the vocabulary's id of each rank, which ids begin with a space, and the id of a line end."""
+        import json
+
+        import regex
+        import tiktoken
+
+        np, end = self.np, "</w>" if self.kind == "word" else ""
+        model = json.loads(self.tok.to_str())["model"]
+        rules = (model.get("end_of_word_suffix") or "", *(bool(model.get(k)) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")))
+        vocab, letters = model.get("vocab", {}), byte_letters()
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
+        if model.get("type") != "BPE" or rules != (end, False, False, False, False, False) or len(set(merges)) < len(merges):
+            return None
+        # Such a token's symbols must merge to itself, as tiktoken takes whole pieces that are in the vocabulary at once.
+        if any(len(self.tok.model.tokenize(m.removesuffix(end))) != 1 for m in merges if m.endswith(end)):
+            return None
+        to_byte = {c: b for b, c in letters.items()}
+        symbols = [*letters.values(), *[c + end for c in letters.values() if end], *merges]
+        mark = b"\0" if end else b""  # stands for "</w>"; texts that hold it are not merged here
+        ranks = {bytes(to_byte[c] for c in (s.removesuffix(end) if end else s)) + (mark if end and s.endswith(end) else b""): i for i, s in enumerate(symbols)}
+        if len(ranks) < len(symbols) or any(s not in vocab for s in symbols):
+            return None
+        self.ids = np.array([vocab[s] for s in symbols], self.type)
+        self.spaced = np.array([s[0] == letters[32] for s in symbols])
+        self.line = symbols.index(letters[10] + end)
+        self.pieces = regex.compile(r"\n|" + WORD_PIECE)
+        return tiktoken.Encoding("merges", pat_str=r"[^\x00]+\x00" if end else BYTE_PIECE, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return self.np.array(self.tok.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(mapped)])
+    def merged(self, words: list[str], lines: bool) -> list[bytes]:
+        """Ids of words after a space, or of lines' first words without the line end before them."""
+        np, w = self.np, self.width
+        if not words:
+            return []
+        if self.kind == "word":
+            found = self.pieces.findall("\n" + "\n".join(words).lower())
+            ranks, own = self.merger.encode_to_numpy("\0".join(found) + "\0", disallowed_special=()), 1
+        else:
+            mark, own = ("\n", 1) if lines else (" ", 0)
+            ranks = self.merger.encode_to_numpy(mark + mark.join(words), disallowed_special=())
+        first = np.flatnonzero(ranks == self.line if own else self.spaced[ranks])
+        if len(first) != len(words):
+            raise ValueError("words can't be told apart in their ids")
+        data, ends = self.ids[ranks].tobytes(), [*(first[1:] * w).tolist(), len(ranks) * w]
+        return [data[a:b] for a, b in zip(((first + own) * w).tolist(), ends, strict=True)]
+
+    def fresh(self, keys: list[str]) -> list[bytes]:
+        """Ids of words that are not known."""
+        out: list = [None] * len(keys)
+        texts: list[str | None] = [None] * len(keys)  # for the library
+        plain: tuple[list[int], list[int]] = ([], [])  # places of words after a space, and of first words
+        for i, key in enumerate(keys):
+            head, rest = key[:1], key[1:]
+            if head == "\v":
+                texts[i] = rest
+            elif self.merger is None or FAR.search(key) or (self.kind == "word" and "<|" in key):
+                texts[i] = key if self.kind == "word" or head == "\n" else rest if head in ("\r", "\t") else " " + key
+            elif not rest and head in ("", "\r"):
+                out[i] = b""
+            elif head == "\t":
+                texts[i] = rest
+            else:
+                plain[self.kind == "byte" and head in ("\n", "\r")].append(i)
+        at = [i for i, x in enumerate(texts) if x is not None]
+        for k in range(0, len(at), 1024):
+            for i, got in zip(at[k : k + 1024], self.tok.encode_batch_fast([texts[i] for i in at[k : k + 1024]], add_special_tokens=False), strict=True):
+                out[i] = self.np.array(got.ids, self.type).tobytes()
+        for i, got in zip(plain[0], self.merged([keys[i] for i in plain[0]], False), strict=True):
+            out[i] = got
+        end = self.ids[self.line].tobytes() if self.merger else b""
+        for i, got in zip(plain[1], self.merged([keys[i][1:] for i in plain[1]], True), strict=True):
+            out[i] = end + got if keys[i][0] == "\n" else got
+        return out
+
+    def words(self, keys: list[str]) -> list[bytes]:
+        got = list(map(self.new.get, keys))
+        lack = [i for i, x in enumerate(got) if x is None]
+        for i in lack:
+            got[i] = self.old.get(keys[i])
+        lost = [i for i in lack if got[i] is None]
+        for i, value in zip(lost, self.fresh([keys[i] for i in lost]), strict=True):
+            got[i] = value
+        for i in lack:
+            if len(keys[i]) <= Cache.LONGEST:
+                if len(self.new) >= self.most:
+                    self.old, self.new = self.new, {}
+                self.new[keys[i]] = got[i]
+        return got
+
+    def keys(self, text: str) -> list[str]:
+        """Keys of a text that isn't plain."""
+        if odd_space(text) or (self.kind == "byte" and self.special.search(text)):
+            return ["\v" + text]
+        if self.kind == "word":
+            return ["\v" + text] if "\0" in text else text.split()
+        return [c[1:] if c[0] == " " and not c.isspace() else ("\t" if c.isspace() else "\r") + c for c in BYTE_CHUNK.findall(text)]
+
+    def _slice(self, texts: pa.Array) -> list:
+        import pyarrow.compute as pc
+
+        np = self.np
+        odd = pc.match_substring_regex(texts, self.apart).to_numpy(zero_copy_only=False)
+        order = np.argsort(odd, kind="stable")
+        plain, rest = texts.filter(pa.array(~odd)), texts.filter(pa.array(odd)).to_pylist()
+        if self.kind == "byte":
+            plain = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\r", plain, ""), "\n", " \n"), " ")
+        else:
+            plain = pc.ascii_split_whitespace(plain)
+        apart = list(map(self.keys, rest))
+        sizes = np.concatenate([pc.list_value_length(plain).to_numpy(zero_copy_only=False), np.fromiter(map(len, apart), np.int64, len(apart))]).astype(np.int64)
+        coded = pa.concat_arrays([plain.flatten(), pa.array([k for x in apart for k in x], pa.string())]).dictionary_encode()
+        values = self.words(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.width
+        flat, first = np.frombuffer(b"".join(values), self.type), np.cumsum(lengths) - lengths
+        at = coded.indices.to_numpy()
+        own = lengths[at]
+        ends = np.cumsum(own)
+        ids = flat[np.repeat(first[at] - (ends - own), own) + np.arange(int(own.sum()))]
+        bounds = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(sizes)]])
+        out: list = [None] * len(texts)
+        for i, (a, b) in zip(order.tolist(), zip(bounds.tolist(), bounds[1:].tolist(), strict=False), strict=True):
+            out[i] = ids[a:b]
+        return out
+
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, list]]:
+        """(place of the first text, ids of each text as an array) for slices of the texts (null: empty)."""
+        import pyarrow.compute as pc
+
+        texts = texts.fill_null("")
+        sizes = self.np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=self.np.int64)
+        at, done = 0, 0
+        while at < len(texts):
+            to = max(at + 1, int(self.np.searchsorted(sizes, done + self.SLICE, "right")))
+            yield at, self._slice(texts.slice(at, to - at))
+            at, done = to, int(sizes[to - 1])
 
-    def chunk(self, chunk: str) -> bytes:
-        if FAR.search(chunk) or "<|" in chunk:
-            return self.whole(chunk)
-        found = self.pattern.findall(chunk if self.kind == "byte" else chunk.lower())
-        return b"".join(map(self.pieces.__getitem__, found))
+    def __call__(self, text: str) -> bytes:
+        return self._slice(pa.array([text], pa.string()))[0].tobytes()
 
-    def spaced(self, word: str) -> bytes:
-        """A word after a space, or a line's first word with the line end before it."""
-        return self.chunk(word if word[0] == "\n" else " " + word)
 
-    def __call__(self, text: str) -> bytes:
-        if odd_space(text):
-            return self.whole(text)
-        if self.kind == "word":
-            return b"".join(map(self.cache.__getitem__, text.split()))
-        if "<|" in text:
-            return self.whole(text)
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", "\n ", " \n", "\t", "\r", "\x0b", "\x0c")):
-            return b"".join(map(self.cache.__getitem__, BYTE_CHUNK.findall(text)))
-        # Every space and line end stands alone between words.
-        first, *words = text.replace("\n", " \n").split(" ")
-        return self.cache[first] + b"".join(map(self.words.__getitem__, words))
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, kind: str) -> Encoder:
+    """The encoder of this process, which Python workers keep from task to task; only the last one used stays."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, kind] = Encoder(path, kind)
+    return _ENCODERS[path, kind]
 
 
 def crc_ids(ids) -> int:
@@ -193,3 +315,6 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+__all__ = ["Cache", "Encoder", "LOWER", "UPPER", "crc_ids", "cut", "discard", "encoder", "fresh_path", "map_texts", "packed", "read_table", "shared_dir", "spread_join", "tokenizer_path", "uniform", "utf8_size", "word_count"]

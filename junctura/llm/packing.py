@@ -3,8 +3,8 @@
 Documents are tokenised, ended by an end id, and cut into pieces of at most `size` ids; only the first piece of a long
 document may be shorter. The histogram of piece lengths (at most `size` counts, whatever the corpus) goes to the
 driver, which runs best-fit decreasing over counts: all bins alike are one class, so the plan has a few thousand
-entries at any scale. Pieces then take planned slots by a join on (length, rank within length). Ranks of common
-lengths are counted in salted blocks of about BLOCK_ROWS, so one very common length is no hot key.
+entries at any scale. Pieces then take planned slots by a join on (length, rank within length). Ranks within a
+length are counted in salted blocks of about BLOCK_ROWS, so one very common length is no hot key.
 
 Defined results: a null text is empty, that is one piece with the end id; repeated rows are packed once each; an empty
 table gives an empty table.
@@ -12,42 +12,45 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, crc_ids, cut, map_texts, tokenizer_path
+from .common import cut, encoder, tokenizer_path
 
 SIZE = 2048
-BLOCK_ROWS = 2_000
+#: Rows of a block in which pieces of one length are ranked, and blocks in all (more rows make larger blocks, so a length's blocks stay few).
+BLOCK_ROWS, BLOCKS = 256, 100_000
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = 0, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) for every piece of every row."""
     file = path or tokenizer_path("byte_bpe_50k.json")
-    kind = "array<struct<piece:int,start:long,length:int,ids_crc32:long" + (",ids:binary" if with_ids else "") + ">>"
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int32(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encode = Encoder(file, "byte")
-
-        def run(keys, texts):
-            out = []
-            for x in texts:
-                ids = np.append(np.frombuffer(encode(x), encode.type), np.array([end], encode.type)).astype("<u4")
-                n = len(ids)
-                cuts = [0, *range(n % size or size, n + 1, size)] if n > size else [0, n]
-                row = []
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    p = {"piece": i, "start": a, "length": b - a, "ids_crc32": crc_ids(ids[a:b])}
-                    row.append(p | {"ids": ids[a:b].tobytes()} if with_ids else p)
-                out.append(row)
-            return [keys[0], out]
-
-        return run
-
-    got = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], "text", f"doc_id long, p {kind}", make)
-    return got.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
+        encode = encoder(file, "byte")
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            for at, found in encode.slices(b.column(1)):
+                rows: list[tuple] = []
+                for key, got in zip(keys[at : at + len(found)], found, strict=True):
+                    ids = np.empty(len(got) + 1, "<u4")
+                    ids[:-1], ids[-1] = got, end
+                    n = len(ids)
+                    cuts = [0, *range(n % size or size, n + 1, size)] if n > size else [0, n]
+                    for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        part = ids[x:y].tobytes()
+                        rows.append((key, i, x, y - x, zlib.crc32(part), part) if with_ids else (key, i, x, y - x, zlib.crc32(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -87,7 +90,8 @@ def pack(cuts: DataFrame, size: int = SIZE) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     entries, _ = plan(histogram, size)
     kept = cuts.columns
-    salts = spark.createDataFrame([(n, -(-c // BLOCK_ROWS)) for n, c in histogram.items() if c > BLOCK_ROWS], "_hot int, _salts long")
+    block = max(BLOCK_ROWS, -(-sum(histogram.values()) // BLOCKS))
+    salts = spark.createDataFrame([(n, -(-c // block)) for n, c in histogram.items() if c > block], "_hot int, _salts long")
     rows = cuts.join(F.broadcast(salts), F.col("length") == F.col("_hot"), "left")  # at most `size` rows: common lengths only
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce("_salts", F.lit(1)))).drop("_hot", "_salts")
     blocks = rows.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_c"))

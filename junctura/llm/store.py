@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, crc_ids, cut, fresh_path, tokenizer_path
+from .common import crc_ids, cut, encoder, fresh_path, tokenizer_path
 
 MAGIC = b"JTOK1"
 GAMMA, LEVELS = 2.0, 48
@@ -167,17 +167,27 @@ class Shard:
         a, b = int(self.starts[doc]) * self.width, int(self.starts[doc + 1]) * self.width
         return self.np.frombuffer(self.file.read_at(b - a, a), f"<u{self.width}")
 
-    def documents(self) -> Iterator[tuple[int | None, int, int, int]]:
-        """key, start, tokens, checksum of every document, each found by its key."""
-        for doc in range(self.nulls):
-            yield None, int(self.starts[doc]), int(self.starts[doc + 1] - self.starts[doc]), crc_ids(self.ids(doc))
-        step = 4096
-        for at in range(0, len(self.keys), step):
-            keys = self.keys[at : at + step]
-            slots = self.find(keys)
-            for key, slot in zip(keys.tolist(), slots.tolist(), strict=True):
-                for doc in range(int(self.first[slot]), int(self.first[slot]) + int(self.run[slot])):
-                    yield key, int(self.starts[doc]), int(self.starts[doc + 1] - self.starts[doc]), crc_ids(self.ids(doc))
+    def documents(self, block: int = 4 << 20) -> Iterator[list[tuple[int | None, int, int, int]]]:
+        """Lists of key, start, tokens, checksum of every document, each found by its key through the hash function; payloads come in reads of about `block` bytes."""
+        np = self.np
+        slots = self.find(self.keys)
+        if (slots < 0).any():
+            raise ValueError("a key is not in its index")
+        run = self.run[slots].astype(np.int64)
+        docs = np.repeat(self.first[slots].astype(np.int64) - (np.cumsum(run) - run), run) + np.arange(int(run.sum()))
+        docs = np.concatenate([np.arange(self.nulls), docs])
+        keys = [None] * self.nulls + np.repeat(self.keys, run).tolist()
+        begin, end = self.starts[docs].astype(np.int64), self.starts[docs + 1].astype(np.int64)
+        at = 0
+        while at < len(docs):
+            # Documents that lie end to end are read together.
+            far = int(np.searchsorted(end, begin[at] + block // self.width, "right"))
+            gaps = np.flatnonzero(begin[at + 1 : far] != end[at : max(at, far - 1)])
+            to = max(at + 1, at + 1 + int(gaps[0]) if len(gaps) else far)
+            a, z = int(begin[at]) * self.width, int(end[to - 1]) * self.width
+            data, base = self.np.frombuffer(self.file.read_at(z - a, a), f"<u{self.width}"), int(begin[at])
+            yield [(k, x, y - x, crc_ids(data[x - base : y - base])) for k, x, y in zip(keys[at:to], begin[at:to].tolist(), end[at:to].tolist(), strict=True)]
+            at = to
 
 
 def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end: int = 1, kind: str = "word") -> DataFrame:
@@ -191,14 +201,14 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
         from pyspark import TaskContext
 
         part, out = TaskContext.get().partitionId(), None
-        encode = Encoder(file, kind)
+        encode = encoder(file, kind)
         last = end.to_bytes(encode.width, "little")
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                piece = b.slice(at, 512)
-                for key, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    out = out or ShardWriter(folder, part, encode.width)
-                    out.add(key, encode(text or "") + last)
+            keys = b.column(0).to_pylist()
+            for at, found in encode.slices(b.column(1)):
+                out = out or ShardWriter(folder, part, encode.width)
+                for key, ids in zip(keys[at : at + len(found)], found, strict=True):
+                    out.add(key, ids.tobytes() + last)
         if out:
             name, n, tokens, low, high, nulls = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (name, pa.string()), (n, pa.int64()), (tokens, pa.int64()), (low, pa.int64()), (high, pa.int64()), (nulls, pa.int64()))], names=["part", "path", "docs", "tokens", "low", "high", "nulls"])
@@ -207,24 +217,19 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shard files; start counts the ids of all documents before it."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shard files, a task a shard; start counts the ids of all documents before it."""
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.select("path", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("before"))  # a row a shard
+    shards = manifest.select("part", "path", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("before"))  # a row a shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n_tokens", "ids_crc32"]
         for b in batches:
-            for path, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got: list = []
-                for key, start, n, crc in Shard(path).documents():
-                    got.append((key, before + start, n, crc))
-                    if len(got) == 8192:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=names)
-                        got = []
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=names)
-
-    return shards.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for path, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for got in Shard(path).documents():
+                    key, start, n, crc = (pa.array(c, pa.int64()) for c in zip(*got, strict=True))
+                    yield pa.RecordBatch.from_arrays([key, pa.array([x + before for x in start.to_pylist()], pa.int64()), n, crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    # A number of partitions that is given isn't coalesced.
+    return shards.repartitionByRange(max(1, manifest.count()), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 class TokenStore:
