@@ -14,11 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, packed
 
 BOUNDARY = -1
 
@@ -98,60 +99,57 @@ class Automaton:
         return (back[:, final // 64] >> (final % 64).astype(np.uint64)) & one != 0
 
 
-def host_and_path(url: Column) -> tuple[Column, Column]:
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({url_sql(url)}, instr({url_sql(url)}, '://') + 3)")).otherwise(F.lit(""))
+class Judge:
+    """Rules, longest first (ties in code point order), over hosts and paths. The automaton is built where it is first used."""
+
+    def __init__(self, rules: Iterable[Rule], default: str):
+        self.ranked, self.default, self.machine = sorted((Rule(*r) for r in rules), key=lambda r: (-len(r.rule), r.rule)), default, None
+
+    def __call__(self, hosts: list[str], paths: list[str]) -> list[Rule | None]:
+        """The rule that decides each url; None where none fits."""
+        if not self.ranked:
+            return [None] * len(hosts)
+        if self.machine is None:
+            self.machine = Automaton([r.glob() for r in self.ranked])
+        fits = self.machine.accepted([[".", *h, BOUNDARY, *p] for h, p in zip(hosts, paths, strict=True)])
+        return [self.ranked[i] if found else None for i, found in zip(fits.argmax(axis=1).tolist(), fits.any(axis=1).tolist(), strict=True)]
+
+
+def host_and_path(url: str) -> tuple[Column, Column]:
+    """Host and path of a column's urls."""
+    at = F.instr(F.col(url), "://")
+    rest = F.when(at > 0, F.substring(F.col(url), at + 3, F.length(url))).otherwise(F.lit(""))
     raw = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.translate(raw, UPPER, LOWER), path
 
 
-def url_sql(url: Column) -> str:
-    return "`_url`"
-
-
 def judge(pages: DataFrame, rules: Iterable[Rule] = RULES, default: str = "allow", key: str = "page_id", url: str = "url", rows: int = 4096) -> DataFrame:
     """key, host, path, rule (null if none fits), verdict for every row."""
-    ranked = sorted((Rule(*r) for r in rules), key=lambda r: (-len(r.rule), r.rule))
-    host, path = host_and_path(F.col("_url"))
+    decide = Judge(rules, default)
+    host, path = host_and_path("_url")
     slim = pages.select(F.col(key), F.coalesce(F.col(url), F.lit("")).alias("_url")).select(F.col(key), host.alias("host"), path.alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        machine = Automaton([r.glob() for r in ranked])
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                hosts, paths = part.column(1).to_pylist(), part.column(2).to_pylist()
-                fits = machine.accepted([[".", *h, BOUNDARY, *p] for h, p in zip(hosts, paths, strict=True)])
-                best = np.where(fits.any(axis=1), fits.argmax(axis=1), -1) if ranked else np.full(len(hosts), -1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array([ranked[i].rule if i >= 0 else None for i in best], pa.string()), pa.array([ranked[i].verdict if i >= 0 else default for i in best], pa.string())],
-                    names=[key, "host", "path", "rule", "verdict"],
-                )
+                found = decide(part.column(1).to_pylist(), part.column(2).to_pylist())
+                said = [pa.array([r and r.rule for r in found], pa.string()), pa.array([r.verdict if r else default for r in found], pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *said], names=[key, "host", "path", "rule", "verdict"])
 
     return slim.mapInArrow(run, f"`{key}` {dict(pages.dtypes)[key]}, host string, path string, rule string, verdict string")
 
 
 def keep_pages(pages: DataFrame, rules: Iterable[Rule] = RULES, default: str = "allow") -> DataFrame:
     """The pages that are not blocked, with the input's columns; the verdict is computed per row, so no join is needed."""
-    from .common import packed
-
-    verdicts = packed(pages).withColumn("_u", F.col("_row.url"))
-    return _filter_rows(verdicts, rules, default).select("_row.*")
-
-
-def _filter_rows(rows: DataFrame, rules: Iterable[Rule], default: str) -> DataFrame:
-    ranked = sorted((Rule(*r) for r in rules), key=lambda r: (-len(r.rule), r.rule))
-    host, path = host_and_path(F.col("_url"))
-    got = rows.withColumn("_url", F.coalesce(F.col("_u"), F.lit("")))
+    decide = Judge(rules, default)
 
     @F.pandas_udf("boolean")
-    def blocked(h, p):
-        import pandas as pd
-
-        machine = Automaton([r.glob() for r in ranked])
-        fits = machine.accepted([[".", *a, BOUNDARY, *b] for a, b in zip(h, p, strict=True)])
-        return pd.Series([(ranked[f.argmax()].verdict if f.any() else default) == "block" for f in fits], dtype="boolean")
+    def blocked(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for hosts, paths in parts:
+            yield pd.Series([(r.verdict if r else default) == "block" for r in decide(hosts.tolist(), paths.tolist())], dtype="boolean")
 
-    return got.where(~blocked(host, path))
+    host, path = host_and_path("_url")
+    got = packed(pages).withColumn("_url", F.coalesce(F.col("_row.url"), F.lit("")))
+    return got.where(~blocked(host, path)).select("_row.*")
