@@ -130,11 +130,11 @@ def by_bytes(got: DataFrame, shards: int, block: int = 1 << 16) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """The documents themselves, one folder a shard, in curve order; rows alike (doc_id, size, checksum) share their places."""
+    """The documents themselves, one folder a shard, in curve order; rows alike (doc_id, size, checksum) share their places. A task writes a run of the curve, so files hold narrow ranges of every dimension, which their footers' statistics let readers skip."""
     place = assign(docs, **options).select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), "shard", "slot")
     alike = Window.partitionBy("_d", "_s", "_c").orderBy("slot")
     place = place.withColumn("_i", F.row_number().over(alike))
     rows = packed(docs).select("_row", F.col("_row.doc_id").cast("long").alias("_d2"), (F.coalesce(F.octet_length("_row.text"), F.lit(0)) + 1).cast("long").alias("_s2"), F.crc32(F.coalesce(F.col("_row.text"), F.lit("")).cast("binary")).alias("_c2"))
     rows = rows.withColumn("_i2", F.row_number().over(Window.partitionBy("_d2", "_s2", "_c2").orderBy(F.lit(0))))
     got = rows.join(place, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_s") == F.col("_s2")) & (F.col("_c") == F.col("_c2")) & (F.col("_i") == F.col("_i2")))
-    got.repartition("shard").sortWithinPartitions("shard", "slot").select(F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), "_row.*").write.partitionBy("_shard").parquet(path)
+    got.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select(F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), "_row.*").write.partitionBy("_shard").parquet(path)
