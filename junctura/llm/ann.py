@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 SEED = 20_011
 #: Probes of a band's table at most; tables of a band are numbered below WIDE.
@@ -106,17 +106,25 @@ def distinct_vectors(vectors: DataFrame, k: int, every: int, dim_only: bool = Tr
 
 
 def _best(candidates, queries, k: int):
-    """For each query the k + 1 best (score, vec_id), nearest first. candidates: (matrix, ids of each), queries: matrix."""
+    """For each query the k + 1 best (score, vec_id), nearest first, ties to the smaller vec_id. candidates: (matrix, ids of each), queries: matrix."""
     import numpy as np
 
     matrix, ids = candidates
+    n, dim = matrix.shape
     rough = queries @ matrix.T
-    take = min(k + 1 + 8, matrix.shape[0])
-    top = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < matrix.shape[0] else np.tile(np.arange(take), (len(queries), 1))
-    exact = (queries[:, None, :] * matrix[top]).sum(axis=2)
+    least = np.full(len(queries), -np.inf)
+    if n > k + 1:
+        # Whatever may equal the (k + 1)-th best once it is summed up in the one order that all scores have.
+        slack = 4 * dim * np.finfo(float).eps * np.sqrt((queries * queries).sum(1)) * np.sqrt((matrix * matrix).sum(1).max())
+        least = np.partition(rough, n - k - 1, axis=1)[:, n - k - 1] - slack
     out = []
-    for row, scores in zip(top, exact, strict=True):
-        pairs = sorted((-s, i) for c, s in zip(row.tolist(), scores.tolist(), strict=True) for i in ids[c])[: k + 1]
+    for q, row, low in zip(queries, rough, least, strict=True):
+        at = np.flatnonzero(row >= low)
+        scores = (q * matrix[at]).sum(axis=1)
+        if len(at) > k + 1:
+            keep = scores >= np.partition(scores, len(at) - k - 1)[len(at) - k - 1]
+            at, scores = at[keep], scores[keep]
+        pairs = sorted((-s, i) for c, s in zip(at.tolist(), scores.tolist(), strict=True) for i in ids[c])[: k + 1]
         out.append([(-s, i) for s, i in pairs])
     return out
 
@@ -349,7 +357,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 6, pr
     else:
         found = _exactly(unique, asks, facts["n"], k, bucket, block)
     # Queries of equal vectors share an answer; each leaves itself out.
-    named = raw.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v").distinct().join(asks.select("v", "uid"), "v").select("query_id", "uid")
-    got = named.join(found, "uid").select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("f"))
+    named = cut(raw.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("_h"), "v").distinct(), "ann-named")
+    total = named.count()
+    same = named.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    # By a hash of the vector, then by the vector itself: a common one is dealt over parts.
+    own = cut(asks.select(F.xxhash64("v").alias("_h"), F.col("v").alias("_v"), "uid").join(same, "_h"), "ann-asks")
+    answers = own.select("_h", "_v", "_n", "uid").join(found, "uid")
+    got = spread_join(named, answers, "_h", "_n", total).where(F.col("v") == F.col("_v")).select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("f"))
     got = got.select("query_id", F.posexplode("f").alias("_i", "x"))
     return got.select("query_id", (F.col("_i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -21,15 +21,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOGETHER, HOT = 2_000, 10_000
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, n: str, rows: int) -> DataFrame:
-    """Inner join on key of many rows with the key's row (or few rows) of `one`, whose column n counts the key's rows in many, `rows` in all. Rows of keys above a block of TOGETHER (or rows / HOT, so that the broadcast list of such keys has HOT entries at most) are dealt over ceil(n / block) parts, and the key's row of `one` goes to each."""
+def spread_join(many: DataFrame, one: DataFrame, key: str, n: str, rows: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) on key of many rows with the key's row (or few rows) of `one`, whose column n counts the key's rows in many, `rows` in all. Rows of keys above a block of TOGETHER (or rows / HOT, so that the broadcast list of such keys has HOT entries at most) are dealt over ceil(n / block) parts, and the key's row of `one` goes to each."""
     block = max(TOGETHER, -(-rows // HOT))
+    if rows <= block:  # no key can have more
+        return many.join(one, key, how)
     parts = F.ceil(F.col(n) / block)
     hot = one.where(F.col(n) > block).select(F.col(key).alias("_hot"), parts.alias("_parts")).distinct()
     salt = F.pmod(F.xxhash64(*many.columns), F.coalesce("_parts", F.lit(1)))
     dealt = many.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_salt", salt).drop("_hot", "_parts")
     each = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1)))
-    return dealt.join(each, [key, "_salt"]).drop("_salt")
+    return dealt.join(each, [key, "_salt"], how).drop("_salt")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +56,26 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
 
 
+#: Rows and bytes of a batch of texts that goes to Python, at most.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to BATCH_ROWS and BATCH_BYTES where they are higher: rows are whole documents here, and a batch stands several times in the memory of its executor and its worker."""
+    from pyspark.errors import PySparkException
+
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0) if re.fullmatch(r"-?\d+b?", spark.conf.get(key)) else most + 1
+            if spark.conf.get(key).startswith("-") or not 0 < now <= most:
+                spark.conf.set(key, str(most))
+        except PySparkException:  # a Spark without that limit
+            pass
+
+
 def map_texts(df: DataFrame, keys: list[str], text: str, schema: str | T.StructType, make: Callable[[], Callable[[list[list], list[str]], Iterable[list]]], rows: int = 512) -> DataFrame:
     """Apply a function to slices of at most `rows` texts. make() builds it once per task; it takes the key columns and the texts (null: empty) as lists and yields output columns as lists."""
+    small_batches(df.sparkSession)
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     fields = out.fieldNames()
 
@@ -133,7 +153,7 @@ class Encoder:
 
     Keys of words: as they are after a space; after "\n" or "\r" (a line's or a text's first); after "\t" other white space; after "\v" a whole text."""
 
-    SLICE = 2 << 20
+    SLICE = 4 << 20
 
     def __init__(self, path: str, kind: str, most: int = 100_000):
         import os
@@ -317,4 +337,4 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-__all__ = ["Cache", "Encoder", "LOWER", "UPPER", "crc_ids", "cut", "discard", "encoder", "fresh_path", "map_texts", "packed", "read_table", "shared_dir", "spread_join", "tokenizer_path", "uniform", "utf8_size", "word_count"]
+__all__ = ["Cache", "Encoder", "LOWER", "UPPER", "crc_ids", "cut", "discard", "encoder", "fresh_path", "map_texts", "packed", "read_table", "shared_dir", "small_batches", "spread_join", "tokenizer_path", "uniform", "utf8_size", "word_count"]
