@@ -82,6 +82,7 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str | T.StructT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        lean()
         arrow, fn = to_arrow_schema(out), make()
         for b in batches:
             for at in range(0, b.num_rows, rows):
@@ -90,6 +91,8 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str | T.StructT
                 texts = [x or "" for x in part.column(len(keys)).to_pylist()]
                 got = fn(cols, texts)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(got, arrow, strict=True)], schema=arrow)
+        del fn
+        lean()
 
     assert fields
     return df.select(*[F.col(k) for k in keys], F.col(text)).mapInArrow(run, out)
@@ -317,13 +320,27 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, kind: str) -> Encoder:
-    """The encoder of this process, which Python workers keep from task to task; only the last one used stays."""
+    """The encoder of this process, which Python workers keep from task to task until a task of another kind drops it; only the last one used stays."""
     if (path, kind) not in _ENCODERS:
-        _ENCODERS.clear()
+        lean()
         _ENCODERS[path, kind] = Encoder(path, kind)
     return _ENCODERS[path, kind]
 
 
+def lean() -> None:
+    """Drop what earlier tasks left in this Python worker, and give free memory back to the machine: executors share theirs with their workers."""
+    import ctypes
+    import gc
+
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def crc_ids(ids) -> int:
     import zlib
 
@@ -337,4 +354,4 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-__all__ = ["Cache", "Encoder", "LOWER", "UPPER", "crc_ids", "cut", "discard", "encoder", "fresh_path", "map_texts", "packed", "read_table", "shared_dir", "small_batches", "spread_join", "tokenizer_path", "uniform", "utf8_size", "word_count"]
+__all__ = ["Cache", "Encoder", "LOWER", "UPPER", "crc_ids", "cut", "discard", "encoder", "fresh_path", "lean", "map_texts", "packed", "read_table", "shared_dir", "small_batches", "spread_join", "tokenizer_path", "uniform", "utf8_size", "word_count"]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, encoder, tokenizer_path
+from .common import cut, encoder, small_batches, tokenizer_path
 
 SIZE = 2048
 #: Rows of a block in which pieces of one length are ranked, and blocks in all (more rows make larger blocks, so a length's blocks stay few).
@@ -49,6 +49,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int
                         rows.append((key, i, x, y - x, zlib.crc32(part), part) if with_ids else (key, i, x, y - x, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 

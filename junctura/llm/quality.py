@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, lean, map_texts, small_batches
 
 SYMBOLS, PUNCT, DIGITS, CAPS = b"#*$%&|<>", b".,;:?", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OWN = 16
@@ -218,9 +218,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **opti
     def good(texts):
         import pandas as pd
 
+        lean()
         out, values = [], [x or "" for x in texts]
         for at in range(0, len(values), 512):
             out += [x >= threshold for x in model.scores(values[at : at + 512])]
         return pd.Series(out, dtype="boolean")
 
+    small_batches(docs.sparkSession)
     return docs.where(good(F.col("text")))

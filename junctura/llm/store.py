@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_ids, cut, encoder, fresh_path, tokenizer_path
+from .common import crc_ids, cut, encoder, fresh_path, small_batches, tokenizer_path
 
 MAGIC = b"JTOK1"
 GAMMA, LEVELS = 2.0, 48
@@ -193,6 +193,7 @@ class Shard:
 def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end: int = 1, kind: str = "word") -> DataFrame:
     """Tokenise and write all rows; gives the manifest (one row a shard), itself written. Executors write to `folder`, which all must reach."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder, file = folder or fresh_path(spark, "tokens"), path or tokenizer_path("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
