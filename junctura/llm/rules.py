@@ -20,19 +20,20 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, map_texts
+from .common import cut, lean, map_texts, packed, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 #: Measures, higher is worse, and their cutoffs from loose to strict; what lies above a cutoff is rejected.
 RULES: dict[str, tuple[str, list[float]]] = {
-    "symbols": ("n_symbols / word_chars", [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02]),
-    "dup_lines": ("n_dup_lines / n_lines", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15]),
-    "repeats": ("n_repeat_words / n_words", [0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15]),
-    "long_words": ("word_chars / n_words", [40, 30, 25, 20, 17, 15, 13, 12, 11, 10]),
-    "short_words": ("-(word_chars / n_words)", [-1, -1.5, -2, -2.5, -3, -3.5, -4]),
+    "symbols": ("try_divide(n_symbols, word_chars)", [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02]),
+    "dup_lines": ("try_divide(n_dup_lines, n_lines)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15]),
+    "repeats": ("try_divide(n_repeat_words, n_words)", [0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15]),
+    "long_words": ("try_divide(word_chars, n_words)", [40, 30, 25, 20, 17, 15, 13, 12, 11, 10]),
+    "short_words": ("-try_divide(word_chars, n_words)", [-1, -1.5, -2, -2.5, -3, -3.5, -4]),
 }
 
 
@@ -119,35 +120,35 @@ def cutoffs(table: DataFrame, labels: DataFrame, risk: float = 0.02, delta: floa
     return cut(counts.mapInPandas(pick, "stratum string, " + ", ".join(f"c_{r} double" for r in RULES)), "rules-cutoffs")
 
 
-def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, stratum, h, the measures, base_failed and kept for every row."""
-    table = cut(measured(docs), "rules-measures")
-    limits = cutoffs(table, labels, **options).withColumnRenamed("stratum", "_s")
-    got = table.join(limits, F.col("stratum").eqNullSafe(F.col("_s")), "left")
+def _kept(table: DataFrame, limits: DataFrame) -> DataFrame:
+    """table (stratum and measures among its columns) with base_failed and kept. A cutoff of NaN or null is none."""
+    names = table.columns
+    got = table.join(limits.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")), "left")
     passed = F.lit(True)
     for rule, (measure, _) in RULES.items():
-        # A cutoff of NaN or null is none.
         passed = passed & (F.col(f"c_{rule}").isNull() | F.isnan(f"c_{rule}") | ~(F.expr(measure) > F.col(f"c_{rule}")))
     kept = F.when(base_failed(), F.lit(False)).otherwise(passed)
-    return got.select(*table.columns, base_failed().alias("base_failed"), F.coalesce(kept, F.lit(True)).alias("kept"))
+    return got.select(*names, base_failed().alias("base_failed"), F.coalesce(kept, F.lit(True)).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows that are kept, with the input's columns. The cutoffs are joined by stratum, and the measures computed in place."""
-    from pyspark.sql.types import LongType, StructField, StructType
+def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, stratum, h, the measures, base_failed and kept for every row."""
+    table = cut(measured(docs), "rules-measures")
+    return _kept(table, cutoffs(table, labels, **options))
 
-    from .common import packed
 
-    limits = cutoffs(cut(measured(docs), "rules-measures"), labels, **options).withColumnRenamed("stratum", "_s")
+def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows that are kept, with the input's columns. Each text is measured once, and its row written beside its measures."""
 
-    @F.pandas_udf(StructType([StructField(m, LongType()) for m in MEASURES]))
+    @F.pandas_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
     def of(texts):
         import pandas as pd
 
+        lean()
         return pd.DataFrame([measures(x or "") for x in texts], columns=MEASURES)
 
-    got = packed(docs).withColumn("_m", of(F.col("_row.text"))).join(limits, F.col("_row.lang").cast("string").eqNullSafe(F.col("_s")), "left").select("_row", "_m.*", *[f"c_{r}" for r in RULES])
-    passed = F.lit(True)
-    for rule, (measure, _) in RULES.items():
-        passed = passed & (F.col(f"c_{rule}").isNull() | F.isnan(f"c_{rule}") | ~(F.expr(measure) > F.col(f"c_{rule}")))
-    return got.where(~base_failed() & F.coalesce(passed, F.lit(True))).select("_row.*")
+    small_batches(docs.sparkSession)
+    rows = packed(docs).withColumn("_m", of(F.col("_row.text")))
+    rows = cut(rows.select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.lang").cast("string").alias("stratum"), "_m.*"), "rules-rows")
+    limits = cutoffs(rows.select("doc_id", "stratum", *MEASURES), labels, **options)
+    return _kept(rows, limits).where("kept").select("_row.*")
