@@ -4,14 +4,15 @@ For radius 2 every distinct fingerprint emits itself and its 64 one-bit variants
 share a variant, so a shuffle on variants brings them together. All fingerprints around one variant are within 2 bits
 of each other and there are at most 65, so linking each to the one before it loses no component and never emits all
 pairs. Links are verified and deduplicated; components come from alternating large-star / small-star rounds on
-written tables, so hot hubs are aggregated, never gathered.
+written tables. Edges of a hub, rows of a common fingerprint and members of a large group are dealt over parts where they join.
 
 Deduplication of documents (keep_one) asks for a similarity of 0.8 over five-word shingles, at which 64-bit fingerprints differ in about ten bits. It
-hashes balls of radius 2 in each of eight 32-bit blocks of a 256-bit SimHash of word pairs and, as those lose many contiguous edits, equal values of
+hashes balls of radius 1 around each of the four 64-bit blocks of a 256-bit SimHash of word pairs and, as those lose pairs near the threshold, equal values of
 twenty bands of six MinHashes of the shingles (at a similarity of 0.8 these alone miss 0.2 %). Texts that meet are compared on MinHash sketches and, within
-MARGIN of the threshold, on their whole shingle sets. Chains through each ball come first; what they leave apart in a ball of three or more texts is
+MARGIN of the threshold, on their whole shingle sets. Chains through each group come first; what they leave apart in a group of three or more texts is
 then compared in full, in blocks: of each text and other class the TRIES partners whose sketches resemble it most are verified first, then, where
-the two are still apart, TRIES times as many, until none within the margin is left. So no candidate that meets is dropped however many texts a ball holds.
+the two are still apart, TRIES times as many, until none within the margin is left. So of the pairs that meet none is given up however many texts a group
+holds, but for those whose sketches, four standard errors from the threshold, are wrong on which side of it they lie.
 
 Defined results: null or white texts have fingerprint zero and are linked like any other; equal texts share a fingerprint
 and cost one node; a null doc_id never becomes a component's smallest id unless all are null; an empty table gives
@@ -22,12 +23,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, packed
+from .common import TOGETHER, cut, discard, lean, map_texts, packed, spread_join
 
 
 def fingerprint(text: str, width: int) -> int:
@@ -68,56 +70,82 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFra
     return map_texts(slim, ["doc_id", "h"], "text", "doc_id long, h long, fp long", make)
 
 
+def _flip(v: str, p: str) -> Column:
+    """The fingerprint that put variant p (0: itself, b + 1: bit b flipped) into ball v."""
+    return F.when(F.col(p) == 0, F.col(v)).otherwise(F.col(v).bitwiseXOR(F.expr(f"shiftleft(1L, cast({p} as int) - 1)")))
+
+
 def near_links(nodes: DataFrame) -> DataFrame:
-    """a < b: links between distinct fingerprints (column fp) that connect all that are within 2 bits."""
+    """a, b: links between distinct fingerprints (column fp) that connect all that are within 2 bits. A ball's row is the variant and its number: which fingerprint it came from follows from these."""
     ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << b) - ((1 << 64) if b == 63 else 0))) for b in range(64)])
-    near = nodes.select("fp", F.explode(ball).alias("v"))
-    pairs = near.select(F.lag("fp").over(Window.partitionBy("v").orderBy("fp")).alias("a"), F.col("fp").alias("b"))
-    return pairs.where("a is not null").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
+    near = nodes.select(F.posexplode(ball).alias("p", "v")).select("v", F.col("p").cast("byte").alias("p"))
+    along = near.select("v", "p", F.lag("p").over(Window.partitionBy("v").orderBy("p")).alias("q")).where("q is not null")
+    pairs = along.select(_flip("v", "q").alias("x"), _flip("v", "p").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
+
+
+#: Links that one task may take: a graph of no more isn't dealt out.
+ALONE = 50_000
 
 
 def components(links: DataFrame, name: str = "cc") -> DataFrame:
-    """node, root for every node of links (a, b): the smallest node of its component. Stars are drawn together until a round changes nothing."""
+    """node, root for every node of links (a, b): the smallest node of its component. Stars are drawn together until a round changes nothing; a hub's edges are dealt over parts."""
     edges, seen = cut(links.select("a", "b").where("a <> b"), f"{name}-links"), None
+    rows = edges.count()
+
+    def kept(df: DataFrame, step: str) -> DataFrame:
+        return cut(df.coalesce(1) if rows <= ALONE else df, f"{name}-{step}")
+
+    def least(arcs: DataFrame, known: str) -> DataFrame:
+        """u, m (the smallest that `known` names), n (its arcs)."""
+        got = arcs.groupBy("u").agg(F.expr(known).alias("m"), F.count(F.lit(1)).alias("n"))
+        return got if rows <= ALONE else kept(got, "least")
+
+    def met(arcs: DataFrame, low: DataFrame) -> DataFrame:
+        return arcs.join(low, "u") if rows <= ALONE else spread_join(arcs, low, "u", "n", 2 * rows)
+
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large, f"{name}-large")  # u > v
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = cut(small.distinct(), f"{name}-small")
+        low = least(both, "least(min(v), u)")
+        large = kept(met(both, low).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")  # u > v
+        down = least(large, "min(v)")
+        small = met(large, down).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        last, edges = edges, kept(small.distinct(), "small")
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        discard(last, low, large, down)
         if now == seen or now[0] == 0:
             break
-        seen = now
+        seen, rows = now, now[0]
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """fp, root (the class's name), component_id (smallest doc_id of the class) per distinct fingerprint. prints: doc_id, fp."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    """fp, n (rows), root (the class's name), component_id (smallest doc_id of the class) per distinct fingerprint. prints: doc_id, fp."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     roots = components(near_links(nodes), "simhash")
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root"))
     linked = named.join(roots.select(F.col("root").alias("_r")).distinct(), F.col("root") == F.col("_r"), "left_semi")
-    best = linked.groupBy("root").agg(F.min("low").alias("best"))
-    return named.join(best, "root", "left").select("fp", "root", F.coalesce("best", "low").alias("component_id"))
+    # Partial sums first: one row a class and task is shuffled, however large the class.
+    best = linked.groupBy("root").agg(F.min("low").alias("best"), F.count(F.lit(1)).alias("_k"))
+    known = spread_join(named, best, "root", "_k", nodes.count()).select("fp", "n", "root", F.coalesce("best", "low").alias("component_id"))
+    alone = named.join(best.select("root"), "root", "left_anti").select("fp", "n", "root", F.col("low").alias("component_id"))
+    return known.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row."""
     prints = cut(fingerprints(docs, width), "simhash-prints")
-    got = prints.join(classes(prints), "fp")
+    got = spread_join(prints, cut(classes(prints), "simhash-classes"), "fp", "n", prints.count())
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Blocks of 32 bits, bins of a MinHash sketch, and four standard errors of what the sketch estimates at a similarity of 0.8.
-BLOCKS, BINS, MARGIN = 8, 512, 0.07
+#: Blocks of 64 bits, bins of a MinHash sketch, and four standard errors of what the sketch estimates at a similarity of 0.8.
+BLOCKS, BINS, MARGIN = 4, 512, 0.07
 #: Bands of MinHashes beside the blocks, and MinHashes of each.
 BANDS, DEEP = 20, 6
 #: Partners of a text in another class that are verified at first, and what their number grows by.
 TRIES = 8
-#: Texts of a ball or value that one task takes at once; node ids below which a list of them is broadcast.
+#: Texts of a group that one task takes at once; node ids below which a list of them is broadcast.
 MEET, FEW = 2_000, 200_000
 
 
@@ -137,36 +165,45 @@ def shingle_hashes(text: str, width: int):
     return np.fromiter([digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=True)], np.uint64, len(starts))
 
 
+@cache
+def _multipliers():
+    """The odd numbers that make the MinHashes."""
+    import numpy as np
+
+    rng = np.random.default_rng(2_011)
+    return tuple(rng.integers(0, 1 << 63, (BANDS * DEEP, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
 def bands(g) -> list[int]:
-    """32-bit hashes of BANDS bands of DEEP MinHashes of a non-empty array of shingle hashes."""
+    """64-bit hashes of BANDS bands of DEEP MinHashes of an array of shingle hashes; a band's number is its seed."""
     import numpy as np
     import xxhash
 
-    rng = np.random.default_rng(2_011)
-    a, b = (rng.integers(0, 1 << 63, (BANDS * DEEP, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    a, b = _multipliers()
     low = np.full(BANDS * DEEP, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(g), 4096):
         x = (g[None, i : i + 4096] ^ b) * a
         x ^= x >> np.uint64(32)
         x *= a
         low = np.minimum(low, x.min(axis=1))
-    return [xxhash.xxh32_intdigest(row.tobytes()) for row in low.reshape(BANDS, DEEP)]
+    found = np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(low.reshape(BANDS, DEEP))], np.uint64)
+    return found.view(np.int64).tolist()
 
 
 def sketch(text: str, width: int = 5) -> tuple[list[int], bytes]:
-    """A 256-bit SimHash of word pairs as BLOCKS blocks of 32 bits, then BANDS bands of MinHashes, and a one-permutation MinHash of word shingles, a byte a bin (0: empty)."""
+    """A 256-bit SimHash of word pairs as BLOCKS blocks of 64 bits, then BANDS bands of MinHashes, and a one-permutation MinHash of word shingles, a byte a bin (0: empty)."""
     import numpy as np
     import xxhash
 
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return [0] * (BLOCKS + BANDS), bytes(BINS)
+        return [0] * BLOCKS + bands(np.zeros(0, np.uint64)), bytes(BINS)
     wide, pairs = xxhash.xxh3_128_digest, [b" ".join(p) for p in zip(words, words[1:], strict=False)] or words
-    ones = np.zeros(32 * BLOCKS, np.int64)
+    ones = np.zeros(64 * BLOCKS, np.int64)
     for i in range(0, len(pairs), 4096):
-        h = np.frombuffer(b"".join([wide(g, 1) + wide(g, 2) for g in pairs[i : i + 4096]]), np.uint8).reshape(-1, 4 * BLOCKS)
+        h = np.frombuffer(b"".join([wide(g, 1) + wide(g, 2) for g in pairs[i : i + 4096]]), np.uint8).reshape(-1, 8 * BLOCKS)
         ones += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64)
-    blocks = np.packbits(2 * ones > len(pairs)).view(">u4").astype(np.int64).tolist()
+    blocks = np.packbits(2 * ones > len(pairs)).view(">i8").tolist()
     g = shingle_hashes(text, width)
     order = np.argsort(g >> np.uint64(9))[::-1]
     sig = np.zeros(BINS, np.uint8)
@@ -196,33 +233,26 @@ def resemblance(p, q):
     return np.where(used == 0, 1.0, ((p == q) & (p > 0)).sum(-1) / np.maximum(used, 1))
 
 
-def _values(nodes: DataFrame) -> DataFrame:
-    """h, w: each text with the numbered values of its blocks and bands."""
-    return nodes.select("h", F.posexplode("blocks").alias("i", "u")).select("h", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("u")).alias("w"))
-
-
-def _flip(v: str, p: str):
-    return F.when(F.col(p) == 0, F.col(v)).otherwise(F.col(v).bitwiseXOR(F.expr(f"shiftleft(1L, {p} - 1)")))
-
-
-def _balls(values: DataFrame) -> DataFrame:
-    """v, w, before: the distinct values of blocks in each ball that holds several (33 at most), each with the one before it. Bands must be equal."""
-    values = values.where(F.col("w") < BLOCKS << 32)
-    ball = F.array(F.col("w"), *[F.col("w").bitwiseXOR(F.lit(1 << b)) for b in range(32)])
-    near = values.select(F.posexplode(ball).alias("p", "v")).select("v", F.col("p").cast("byte").alias("p"))
-    along = Window.partitionBy("v").orderBy("p")
-    got = near.select("v", "p", F.lag("p").over(along).alias("q"), F.lead("p").over(along).alias("r")).where("q is not null or r is not null")
-    return got.select("v", _flip("v", "p").alias("w"), F.when(F.col("q").isNotNull(), _flip("v", "q")).alias("before"))
+def _members(nodes: DataFrame) -> DataFrame:
+    """g, h, n, rep: each text in the groups of several texts that it meets others in, with the group's size and smallest text. A group is a band's value, or the block values that chains of balls connect (so all texts that share a ball share a group, and a text is in BLOCKS + BANDS groups at most)."""
+    own = nodes.select("h", F.explode(F.slice("blocks", 1, BLOCKS)).alias("fp")).distinct()
+    values = cut(own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "simhash-values")
+    total = values.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    roots = components(near_links(values), "simhash-balls")
+    met = values.join(roots, values.fp == roots.node, "left").where("n > 1 or root is not null").select("fp", "n", F.coalesce("root", "fp").alias("g"))
+    by_block = spread_join(own, cut(met, "simhash-met"), "fp", "n", total).select("g", "h")
+    every = cut(by_block.unionByName(nodes.select(F.explode(F.slice("blocks", BLOCKS + 1, BANDS)).alias("g"), "h")).distinct(), "simhash-all")
+    groups = cut(every.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("rep")).where("n > 1"), "simhash-groups")
+    got = cut(spread_join(every, groups, "g", "n", every.count()).select("g", "h", "n", "rep"), "simhash-members")
+    discard(values, every, groups)
+    return got
 
 
-def _chains(members: DataFrame, values: DataFrame, balls: DataFrame) -> DataFrame:
-    """a < b: pairs along each value's texts and between the first texts of a ball's neighbouring values. Texts of hot values are chained in salted parts, each tied to the value's first."""
-    own = members.join(values.where("n > 1"), "w").withColumn("salt", F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / MEET)))
-    own = own.select("h", F.coalesce(F.lag("h").over(Window.partitionBy("w", "salt").orderBy("h")), "rep").alias("other")).where("h <> other")
-    step = balls.where("before is not null").select("w", "before").distinct()
-    reps = values.select("w", "rep")
-    step = step.join(reps, "w").select("before", F.col("rep").alias("h")).join(reps.withColumnRenamed("w", "before"), "before").select("h", F.col("rep").alias("other")).where("h <> other")
-    return own.unionByName(step).select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+def _chains(members: DataFrame) -> DataFrame:
+    """a < b: pairs along each group's texts. Texts of large groups are chained in salted parts, each tied to the group's first."""
+    own = members.withColumn("salt", F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / MEET)))
+    own = own.select("h", F.coalesce(F.lag("h").over(Window.partitionBy("g", "salt").orderBy("h")), "rep").alias("other")).where("h <> other")
+    return own.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -233,6 +263,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
         import numpy as np
         import pandas as pd
 
+        lean()
         p, q = (np.frombuffer(b"".join(map(bytes, c)), np.uint8).reshape(len(c), BINS) for c in (x, y))
         return pd.Series(resemblance(p, q))
 
@@ -274,17 +305,12 @@ def _exact(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
     return both.where(jaccard("sa", "sb") >= similarity).select("a", "b")
 
 
-def _apart(nodes: DataFrame, classes: DataFrame, members: DataFrame, values: DataFrame, balls: DataFrame, least: float, tries: int, only: DataFrame | None = None) -> DataFrame:
-    """a, b, to, e: for each ball of three or more texts of several classes, the `tries` texts of every other class (to) that each text b outside the ball's largest class (of those in `only`, if given) resembles most. Both sides are dealt in blocks of MEET that meet pairwise in a task."""
-    lone = values.where("n > 1").select("w").join(balls.select("w"), "w", "left_anti").select(F.col("w").alias("v"), "w")
-    # Of balls that hold the same values (33 at most) one stands for all.
-    held = balls.groupBy("v").agg(F.sort_array(F.collect_set("w")).alias("ws")).groupBy("ws").agg(F.min("v").alias("v"))
-    at = held.select("v", F.explode("ws").alias("w")).unionByName(lone)
-    rows = cut(at.join(members, "w").join(classes, "h").select("v", "h", "c"), "simhash-met")
-    some = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 2 and lo <> hi").select("v", "n")
-    most = rows.join(some, "v").groupBy("v", "n", "c").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("v").alias("_v"), "n").agg(F.max(F.struct("k", "c")).alias("top"))
-    most = cut(most.select("_v", F.ceil(F.col("n") / MEET).alias("_cb"), F.ceil((F.col("n") - F.col("top.k")) / MEET).alias("_qb"), F.col("top.c").alias("_top")), "simhash-apart")
-    rows = rows.join(most, F.col("v") == F.col("_v"))
+def _apart(nodes: DataFrame, classes: DataFrame, members: DataFrame, least: float, tries: int, only: DataFrame | None = None) -> DataFrame:
+    """a, b, to, e: for each group of three or more texts of several classes, the `tries` texts of every other class (to) that each text b outside the group's largest class (of those in `only`, if given) resembles most. Both sides are dealt in blocks of MEET that meet pairwise in a task."""
+    rows = cut(members.select("g", "h").join(classes, "h").select(F.col("g").alias("v"), "h", "c"), "simhash-classed")
+    most = rows.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.sum("k").alias("n"), F.max(F.struct("k", "c")).alias("top")).where("n > 2 and top.k < n")
+    most = cut(most.select("v", "n", F.ceil(F.col("n") / MEET).alias("_cb"), F.ceil((F.col("n") - F.col("top.k")) / MEET).alias("_qb"), F.col("top.c").alias("_top")), "simhash-apart")
+    rows = spread_join(rows, most, "v", "n", rows.count())
     salt = F.xxhash64("h")
     given = rows.select("v", F.pmod(salt, "_cb").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qb") - 1)).alias("y"), F.lit(False).alias("ask"), "h", "c")
     asking = rows.where("c <> _top")
@@ -325,39 +351,47 @@ def _apart(nodes: DataFrame, classes: DataFrame, members: DataFrame, values: Dat
 
 def similar_classes(nodes: DataFrame, docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """h, c for every distinct text: its class under links between texts of the given Jaccard similarity of word shingles. nodes (written): h, blocks, sig."""
-    members = _values(nodes)
-    values = cut(members.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("rep")), "simhash-values")
-    balls = cut(_balls(values), "simhash-balls")
+    members = _members(nodes)
 
-    def grouped(links: DataFrame) -> DataFrame:
-        roots = components(links, "simhash")
-        return nodes.select("h").join(roots, nodes.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("c"))
+    total = nodes.count()
 
-    def verified(scored: DataFrame, classes: DataFrame) -> DataFrame:
-        """Of the pairs near the threshold and in different classes, those that reach it."""
+    def of(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, ...) of texts in different classes, with these (ca, cb)."""
         ca, cb = classes.select(F.col("h").alias("a"), F.col("c").alias("ca")), classes.select(F.col("h").alias("b"), F.col("c").alias("cb"))
-        open_pairs = cut(scored.where(F.col("e") < similarity + MARGIN).join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b"), "simhash-open")
-        return cut(_exact(open_pairs, docs, width, similarity), "simhash-verified")
+        return pairs.join(ca, "a").join(cb, "b").where("ca <> cb")
+
+    def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+        """Classes that links connect become one; only the links between classes are looked at."""
+        open_links = cut(of(classes, links).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "simhash-between")
+        if open_links.isEmpty():
+            return classes
+        roots = components(open_links, "simhash-joined")
+        moved = classes.groupBy("c").agg(F.count(F.lit(1)).alias("n")).join(roots, F.col("c") == F.col("node")).select("c", "n", "root")
+        return cut(spread_join(classes, cut(moved, "simhash-moved") if total > TOGETHER else moved, "c", "n", total, "left").select("h", F.coalesce("root", "c").alias("c")), "simhash-classes")
 
-    scored = cut(_estimated(_chains(members, values, balls), nodes, similarity - MARGIN), "simhash-scored")
-    links = scored.where(F.col("e") >= similarity + MARGIN).select("a", "b")
-    links = links.unionByName(verified(scored, cut(grouped(links), "simhash-sure")))
-    classes = cut(grouped(links), "simhash-chained")
+    def verified(scored: DataFrame, classes: DataFrame) -> DataFrame:
+        """Of the pairs near the threshold and in different classes, those that reach it."""
+        open_pairs = cut(of(classes, scored.where(F.col("e") < similarity + MARGIN)).select("a", "b"), "simhash-open")
+        return open_pairs if open_pairs.isEmpty() else cut(_exact(open_pairs, docs, width, similarity), "simhash-verified")
+
+    sure = F.col("e") >= similarity + MARGIN
+    scored = cut(_estimated(_chains(members), nodes, similarity - MARGIN), "simhash-scored")
+    roots = components(scored.where(sure).select("a", "b"), "simhash-sure")
+    classes = cut(nodes.select("h").join(roots, nodes.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("c")), "simhash-classes")
+    classes = joined(classes, verified(scored, classes))
     tries, only, tried = TRIES, None, None
     while True:
-        rest = cut(_apart(nodes, classes, members, values, balls, similarity - MARGIN, tries, only), "simhash-rest")
+        rest = cut(_apart(nodes, classes, members, similarity - MARGIN, tries, only), "simhash-rest")
         if rest.isEmpty():
             return classes
         # Pairs that an earlier round verified are not verified again.
         fresh = rest if tried is None else cut(rest.join(tried, ["a", "b"], "left_anti"), "simhash-fresh")
         tried = rest.select("a", "b") if tried is None else tried.unionByName(fresh.select("a", "b"))
-        links = links.unionByName(fresh.where(F.col("e") >= similarity + MARGIN).select("a", "b")).unionByName(verified(fresh, classes))
-        classes = cut(grouped(links), "simhash-classes")
+        classes = joined(classes, fresh.where(sure).select("a", "b"))
+        classes = joined(classes, verified(fresh, classes))
         # Texts that have more partners than were taken in a class that is still another.
         full = rest.groupBy("b", "to").agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("a")).where(F.col("n") >= tries)
-        own = classes.select(F.col("h").alias("b"), F.col("c").alias("cb"))
-        other = classes.select(F.col("h").alias("a"), F.col("c").alias("ca"))
-        only = cut(full.join(own, "b").join(other, "a").where("ca <> cb").select(F.col("b").alias("h")).distinct(), "simhash-full")
+        only = cut(of(classes, full.select("a", "b")).select(F.col("b").alias("h")).distinct(), "simhash-full")
         if only.isEmpty():
             return classes
         tries *= TRIES
@@ -369,8 +403,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     named = nodes.select("h", "low").join(similar_classes(nodes, docs, width, similarity), "h")
     # One text of each class, by its smallest doc_id; then one row of that text.
     best = named.groupBy("c").agg(F.min_by(F.struct("h", "low"), F.struct(F.col("low").isNull(), "low", "h")).alias("k"))
-    keep = cut(best.select(F.col("k.h").alias("_h"), F.col("k.low").alias("_id")), "simhash-keep")
-    rows = packed(docs).withColumn("_k", F.xxhash64("_row.text")).withColumn("_d", F.col("_row.doc_id").cast("long"))
-    got = rows.join(keep, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h")), "left_semi")
-    alike = Window.partitionBy("_d", "_k").orderBy(F.lit(0))
+    keep = cut(best.select(F.xxhash64("k.low", "k.h").alias("_j"), F.col("k.h").alias("_h"), F.col("k.low").alias("_id")), "simhash-keep")
+    rows = packed(docs).withColumn("_k", F.xxhash64("_row.text")).withColumn("_d", F.col("_row.doc_id").cast("long")).withColumn("_j", F.xxhash64("_d", "_k"))
+    # One hash of both keys, so that rows are shuffled once for the join and for what follows.
+    got = rows.join(keep.withColumnRenamed("_j", "_q").hint("merge"), (F.col("_j") == F.col("_q")) & F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h")), "left_semi")
+    alike = Window.partitionBy("_j", "_d", "_k").orderBy(F.lit(0))
     return got.withColumn("_n", F.row_number().over(alike)).where("_n = 1").select("_row.*")
