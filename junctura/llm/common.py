@@ -156,7 +156,7 @@ class Encoder:
 
     Keys of words: as they are after a space; after "\n" or "\r" (a line's or a text's first); after "\t" other white space; after "\v" a whole text."""
 
-    SLICE = 4 << 20
+    SLICE = 2 << 20
 
     def __init__(self, path: str, kind: str, most: int = 100_000):
         import os
@@ -287,13 +287,18 @@ class Encoder:
         apart = list(map(self.keys, rest))
         sizes = np.concatenate([pc.list_value_length(plain).to_numpy(zero_copy_only=False), np.fromiter(map(len, apart), np.int64, len(apart))]).astype(np.int64)
         coded = pa.concat_arrays([plain.flatten(), pa.array([k for x in apart for k in x], pa.string())]).dictionary_encode()
+        del plain, rest, apart
         values = self.words(coded.dictionary.to_pylist())
+        place = np.int32 if pc.sum(pc.binary_length(texts)).as_py() < 1 << 28 else np.int64  # a byte gives a few ids at most
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.width
-        flat, first = np.frombuffer(b"".join(values), self.type), np.cumsum(lengths) - lengths
+        flat, first, lengths = np.frombuffer(b"".join(values), self.type), (np.cumsum(lengths) - lengths).astype(place), lengths.astype(place)
         at = coded.indices.to_numpy()
+        del coded, values
         own = lengths[at]
-        ends = np.cumsum(own)
-        ids = flat[np.repeat(first[at] - (ends - own), own) + np.arange(int(own.sum()))]
+        ends = np.cumsum(own, dtype=place)
+        source = np.repeat(first[at] - (ends - own), own)
+        source += np.arange(len(source), dtype=place)
+        ids = flat[source]
         bounds = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(sizes)]])
         out: list = [None] * len(texts)
         for i, (a, b) in zip(order.tolist(), zip(bounds.tolist(), bounds[1:].tolist(), strict=False), strict=True):
@@ -309,7 +314,10 @@ class Encoder:
         at, done = 0, 0
         while at < len(texts):
             to = max(at + 1, int(self.np.searchsorted(sizes, done + self.SLICE, "right")))
-            yield at, self._slice(texts.slice(at, to - at))
+            got = self._slice(texts.slice(at, to - at))
+            release()
+            yield at, got
+            del got
             at, done = to, int(sizes[to - 1])
 
     def __call__(self, text: str) -> bytes:
@@ -329,11 +337,17 @@ def encoder(path: str, kind: str) -> Encoder:
 
 def lean() -> None:
     """Drop what earlier tasks left in this Python worker, and give free memory back to the machine: executors share theirs with their workers."""
-    import ctypes
     import gc
 
     _ENCODERS.clear()
     gc.collect()
+    release()
+
+
+def release() -> None:
+    """Give the free memory of Arrow's pool and the C library back to the machine."""
+    import ctypes
+
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
