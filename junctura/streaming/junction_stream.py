@@ -26,23 +26,53 @@ def progress(alignments: DataFrame) -> DataFrame:
     return mapped.select("source", "chrom", "pos", C.strand(F.col("xs")).alias("strand"), F.when(F.col("cigar").contains("N"), C.introns(F.col("pos"), F.col("cigar"))).otherwise(F.array()).alias("introns"), F.coalesce(F.col("closed"), F.lit(False)).alias("closed") if "closed" in alignments.columns else F.lit(False).alias("closed"))
 
 
-def advanced(rows: DataFrame, contigs: list[str]) -> DataFrame:
-    """rows of progress() and, of each partition, a `closed` row for every contig that lies before the latest one of a source."""
-    ordinal = {c: i for i, c in enumerate(contigs)}
-
-    def run(parts: Iterator) -> Iterator:
-        import pandas as pd
-
+def combined(rows: DataFrame, contigs: list[str] | None = None) -> DataFrame:
+    """rows of progress(), combined in each partition before they are shuffled: a row (n = 0) for how far a source has come on a contig and whether it is closed, and one with the count n of each junction.
+    Where `contigs` are given, those that lie before the latest one of a source are closed for it. A partition holds some 400,000 junctions at most; beyond that they go out in parts."""
+    ordinal = {c: i for i, c in enumerate(contigs or [])}
+    kind, junction, most = rows.schema["source"].dataType.simpleString(), ["chrom", "strand", "start", "end"], 1 << 18
+    rows = rows.withColumn("j", F.explode_outer("introns")).select("source", "chrom", F.col("pos").cast("long").alias("pos"), "closed", "strand", F.col("j.start").alias("start"), F.col("j.end").alias("end"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at: dict = {}
+        held: list = []
+        none = None
+
+        def out(found):
+            n = found.num_rows
+            shape = {"source": pa.nulls(n, none), "chrom": found["chrom"], "pos": pa.repeat(pa.scalar(0, pa.int64()), n), "closed": pa.repeat(False, n)}
+            return pa.table(shape | {c: found[c] for c in ("strand", "start", "end", "n")}).to_batches(max_chunksize=10_000)
+
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            none = part.schema.field("source").type
+            seen = part.group_by(["source", "chrom"]).aggregate([("pos", "max"), ("closed", "any")])
+            for source, chrom, pos, closed in zip(*[seen[c].to_pylist() for c in ("source", "chrom", "pos_max", "closed_any")], strict=True):
+                before = at.get((source, chrom), (0, False))
+                at[source, chrom] = max(before[0], pos or 0), before[1] or closed
+            found = part.filter(pc.is_valid(part["start"])).group_by(junction).aggregate([([], "count_all")])
+            held.append(found.rename_columns([*junction, "n"]))
+            if sum(t.num_rows for t in held) > most:
+                held = [pa.concat_tables(held).group_by(junction).aggregate([("n", "sum")]).rename_columns([*junction, "n"])]
+                if held[0].num_rows > most // 2:
+                    yield from out(held.pop())
+        if held:
+            yield from out(pa.concat_tables(held).group_by(junction).aggregate([("n", "sum")]).rename_columns([*junction, "n"]))
         latest: dict = {}
-        for part in parts:
-            for source, chrom in part[["source", "chrom"]].drop_duplicates().itertuples(index=False):
-                latest[source] = max(latest.get(source, 0), ordinal.get(chrom, 0))
-            yield part
-        shut = [(source, c) for source, n in latest.items() for c in contigs[:n]]
-        if shut:
-            yield pd.DataFrame({"source": [x for x, _ in shut], "chrom": [c for _, c in shut], "pos": 0, "strand": ".", "introns": [[] for _ in shut], "closed": True})
+        for source, chrom in at:
+            latest[source] = max(latest.get(source, 0), ordinal.get(chrom, 0))
+        for source, last in latest.items():
+            at |= {(source, c): (0, True) for c in (contigs or [])[:last]}
+        if at:
+            n = len(at)
+            shape = {"source": pa.array([s for s, _ in at], none), "chrom": pa.array([c for _, c in at]), "pos": pa.array([p for p, _ in at.values()], pa.int64()), "closed": pa.array([c for _, c in at.values()])}
+            far = pa.repeat(pa.scalar(-1, pa.int64()), n)
+            yield from pa.table(shape | {"strand": pa.repeat(".", n), "start": far, "end": far, "n": pa.repeat(pa.scalar(0, pa.int64()), n)}).to_batches(max_chunksize=10_000)
 
-    return rows.mapInPandas(run, rows.schema)
+    return rows.mapInArrow(run, f"source {kind}, chrom string, pos long, closed boolean, strand string, start long, end long, n long")
 
 
 def completed(alignments: DataFrame, sources: int, contigs: list[str] | None = None) -> DataFrame:
@@ -54,11 +84,12 @@ def completed(alignments: DataFrame, sources: int, contigs: list[str] | None = N
 
         opened, at = json.loads(state.get[0]) if state.exists else ({}, {})
         for part in parts:
-            for source, pos, strand, introns, closed in zip(part["source"], part["pos"], part["strand"], part["introns"], part["closed"], strict=True):
-                at[source] = 1 << 62 if closed else max(at.get(source, 0), int(pos))
-                for j in introns:
-                    k = f"{j['start']},{j['end']},{strand}"
-                    opened[k] = opened.get(k, 0) + 1
+            for source, pos, closed, strand, start, end, n in zip(*[part[c] for c in ("source", "pos", "closed", "strand", "start", "end", "n")], strict=True):
+                if n:
+                    k = f"{start},{end},{strand}"
+                    opened[k] = opened.get(k, 0) + int(n)
+                else:
+                    at[source] = 1 << 62 if closed else max(at.get(source, 0), int(pos))
         passed = min(at.values()) if len(at) >= sources else -1
         done = [(int(s), int(e), t, n) for (s, e, t), n in ((k.split(","), n) for k, n in opened.items()) if int(e) <= passed]
         for s, e, t, _ in done:
@@ -68,8 +99,7 @@ def completed(alignments: DataFrame, sources: int, contigs: list[str] | None = N
             done.sort()
             yield pd.DataFrame({"chrom": key[0], "start": [d[0] for d in done], "end": [d[1] for d in done], "strand": [d[2] for d in done], "total_score": [d[3] for d in done]})
 
-    rows = progress(alignments) if contigs is None else advanced(progress(alignments), contigs)
-    return rows.groupBy("chrom").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
+    return combined(progress(alignments), contigs).groupBy("chrom").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
 
 
 def observed(junctions: DataFrame, name: str | None = None):

@@ -442,3 +442,17 @@ def test_streams_close_earlier_contigs_and_flush_the_rest(spark, tmp_path):
         if i == 1:
             assert done == set() and left == {("c1", 110, 210, "+", 2), ("c2", 110, 160, "-", 1)}
     assert done == {("c1", 110, 210, "+", 2), ("c2", 110, 160, "-", 2)} and left == {("c3", 60, 90, "+", 1)}
+
+
+def test_a_stream_shuffles_a_row_a_junction_and_partition_not_a_row_an_alignment(spark):
+    from junctura.streaming import junction_stream as stream
+
+    rows = spark.range(0, 60_000, 1, 3).selectExpr("if(id % 2 = 0, 'a', 'd') as source", "cast(0 as int) as tid", "concat('c', 1 + id % 2) as chrom", "id % 5 * 10 as pos", "0 as flag", "if(id % 10 = 7, '30M', '10M100N10M20N5M') as cigar", "'+' as xs")
+    got = stream.combined(stream.progress(rows), ["c1", "c2"]).collect()
+    assert len(got) <= 3 * (2 * 5 * 2 + 2 * 2 + 2)
+    counts, places = {}, {(r.source, r.chrom, r.pos, r.closed) for r in got if not r.n}
+    for r in (r for r in got if r.n):
+        counts[r.chrom, r.start, r.end] = counts.get((r.chrom, r.start, r.end), 0) + r.n
+    assert counts == {(f"c{c}", 10 * x + s, 10 * x + s + n): 6000 for c in (1, 2) for x in range(5) for s, n in ((10, 100), (120, 20)) if (c, x) != (2, 2)}
+    # The source on the second contig has left the first, each in its own partition.
+    assert places == {("a", "c1", 40, False), ("d", "c2", 40, False), ("d", "c1", 0, True)}
