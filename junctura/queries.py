@@ -326,11 +326,12 @@ def junctions_over_batches(spark, sf_dir):
     """The same over several micro-batches of sorted files: a source that has no alignments on a contig, contigs that later ones close, and a flush."""
     base = fresh_path(spark, "stream")
     rows = cut(alignments(spark, sf_dir).withColumn("source", F.col("sample")), "sorted")
-    for low, high in ((0, 2), (2, 3), (3, 5), (5, 99)):
-        rows.where((F.col("tid") > low) & (F.col("tid") <= high)).coalesce(1).sortWithinPartitions("tid", "pos").write.mode("append").parquet(f"{base}/in")
     contigs = [r.chrom for r in rows.select("tid", "chrom").distinct().orderBy("tid").collect()]
-    arriving = stream.read_alignments_stream(spark, f"{base}/in", rows.schema)
-    stream.completed(arriving, 2, contigs).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    for low, high in ((0, 2), (2, 3), (3, 5), (5, 99)):
+        # A file a task, each sorted; all that has arrived makes one micro-batch.
+        rows.where((F.col("tid") > low) & (F.col("tid") <= high)).sortWithinPartitions("tid", "pos").write.mode("append").parquet(f"{base}/in")
+        arriving = stream.read_alignments_stream(spark, f"{base}/in", rows.schema, 1 << 30)
+        stream.completed(arriving, 2, contigs).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.OUT).parquet(f"{base}/out").unionByName(stream.flush(spark, f"{base}/check")).select(*KEYS, "total_score")
 
 
