@@ -456,3 +456,26 @@ def test_a_stream_shuffles_a_row_a_junction_and_partition_not_a_row_an_alignment
     assert counts == {(f"c{c}", 10 * x + s, 10 * x + s + n): 6000 for c in (1, 2) for x in range(5) for s, n in ((10, 100), (120, 20)) if (c, x) != (2, 2)}
     # The source on the second contig has left the first, each in its own partition.
     assert places == {("a", "c1", 40, False), ("d", "c2", 40, False), ("d", "c1", 0, True)}
+
+
+def test_search_sends_probes_in_passes_and_keeps_the_genome_where_it_is(spark, monkeypatch):
+    """Odd characters, lengths of one to 70, several passes, repeats of a probe's blocks; and no row a place of the genome in the plan."""
+    from junctura.operators import spurious
+
+    monkeypatch.setattr(spurious, "PROBES_A_PASS", 9, raising=False)
+    rng = random.Random(33)
+    genome = {c: "".join(rng.choice("ACGT" if c != "z" else "ACGTRYNa") for _ in range(1400)) for c in "xyz"}
+    genome["x"] = genome["x"][:700] + "ACG" * 60 + genome["x"][700:]
+    probes = ["ACG" * 10, "A", "AC", "R" * 12, "CGACGACGACGACGACGACGAC", genome["z"][40:70].replace("N", "R"), genome["z"][100:130].replace("N", "Y"), "中CGTACGTACGTACGTACGT"]
+    for n in (2, 3, 5, 9, 12, 15, 19, 20, 21, 29, 30, 31, 32, 33, 40, 64, 70):
+        seq = list(genome["xyz"[n % 3]][13 * n : 14 * n])
+        for at in rng.sample(range(n), min(3, n // 10)):
+            seq[at] = rng.choice("ACGTR")
+        probes.append("".join(seq))
+    kind = "chrom string, start long, end long, strand string, type string, seq string"
+    made = spark.createDataFrame([("a", i, i + 1, "+", "seq1", p) for i, p in enumerate(probes)], kind)
+    counted = spurious.match_counts(made, spark.createDataFrame(tile_rows(genome), "chrom string, tile long, seq string"))
+    got = {r["start"]: r["hits"] for r in counted.collect()}
+    assert got == {i: 0 if "N" in p or len(p) < 2 or p[0] > "z" else plain_places(p, genome, spurious.allowed(len(p))) for i, p in enumerate(probes)}
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") >= 2
