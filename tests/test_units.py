@@ -526,3 +526,24 @@ def test_fates_by_one_shuffle_of_the_alignments_against_plain_rules(spark):
     assert len({f for f, *_ in want[True].values()}) == 3
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 1
+
+
+def test_flanks_meet_the_genome_once_and_keep_every_row(spark):
+    """Both flanks by one join with the tiles; repeated junctions, lists and nulls beside them stay, and what lies on no contig goes."""
+    from junctura.operators import spurious
+
+    rng = random.Random(55)
+    genome = {"a": "".join(rng.choice("acgt") for _ in range(2500)), "b": "".join(rng.choice("ACGT") for _ in range(60))}
+    found = [("a", 990, 1990, "+", [1, 2], None), ("a", 990, 1990, "+", [3], "x"), ("a", 990, 1990, None, None, "y"), ("a", 10, 2490, ".", [], "z"), ("b", 20, 45, "-", [4], "u"), ("b", 20, 500, "-", [5], "v"), ("c", 20, 45, "-", [6], "w")]
+    rows = spark.createDataFrame(found, "chrom string, start long, end long, strand string, samples array<int>, note string")
+    tiles = spark.createDataFrame(tile_rows(genome), "chrom string, tile long, seq string")
+    sizes = spark.createDataFrame([(c, len(s)) for c, s in genome.items()], "chrom string, length long")
+    got = spurious.flank_sequences(rows.select("samples", *rows.columns[:4], "note"), tiles, sizes)
+    assert got.columns == ["samples", "chrom", "start", "end", "strand", "note", "rstart", "rend", "qstart", "qend", "rseq", "qseq"]
+
+    def cut(c, at):
+        return genome[c][max(at - 50, 0) : at + 50].upper()
+
+    want = sorted((repr((*r, cut(r[0], r[1]), cut(r[0], r[2]))) for r in found[:5]))
+    assert sorted(repr((r.chrom, r.start, r.end, r.strand, r.samples, r.note, r.rseq, r.qseq)) for r in got.collect()) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
